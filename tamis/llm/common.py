@@ -47,8 +47,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges(u, v): one row (node, root) per node, root = its smallest node.
 
     Alternates large-star and small-star contractions. Both are written as a minimum per node (partial
-    aggregation first, so a node of very high degree is no hot spot) and a join back to the edges (which
-    adaptive execution splits when one key dominates). No edge list is ever gathered on the driver.
+    aggregation first, so a node of very high degree is no hot spot) and a join back to the edges. The minima
+    are staged, so that both sides of that join are plain shuffles, which adaptive execution splits when one
+    key dominates. No edge list is ever gathered on the driver.
     Edges with a null end are ignored; self-loops only name their node.
     """
     links = (
@@ -61,6 +62,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # Large star: every neighbour above a node is tied to the smallest one around that node.
         both = links.where("u <> v").select("u", "v").union(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
+        least = staged(least, "cc")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: a node and the neighbours below it are tied to the smallest of them.
         below = large.groupBy("u").agg(F.min("v").alias("m"))

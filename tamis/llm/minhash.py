@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(lowest, "root").select("node", "least_id")
     answer = first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("class_id"))
+    answer = staged(answer, "answer")  # so that adaptive execution may split the join on a class of many copies
     out = live.select("doc_id", "text_hash", "n_shingles", node).join(answer, "node").select("doc_id", "text_hash", "n_shingles", F.col("class_id").alias("component_id"))
     alone = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .linededup import kept_digests
 from .minhash import near_duplicates
+from .packing import pack
 
 #: Lower-cases A-Z alone, as the contracts say.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -34,9 +36,39 @@ FROM s JOIN (SELECT i, min(j) AS component_id FROM r GROUP BY i) c ON c.i = s.do
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed along a space-filling curve."""
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others repeat, as digests."""
+    return kept_digests(read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM l),
+k AS (SELECT doc_id, pos, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+d AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+  CAST(count(*) FILTER (d.key IS NOT NULL AND k.doc_id <> keeper) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (d.key IS NULL OR k.doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    ops = (op1_minhash_dedup, op4_curve_packing, op7_line_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL}
