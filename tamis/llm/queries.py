@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontam import contamination
 from .linededup import kept_digests
 from .minhash import near_duplicates
 from .packing import pack
@@ -36,6 +37,27 @@ FROM s JOIN (SELECT i, min(j) AS component_id FROM r GROUP BY i) c ON c.i = s.do
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark passages in them."""
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+v AS (SELECT item_id, least(len(ws), 10) AS size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i, ws FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM v),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (SELECT doc_id, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size),
+h AS (SELECT dw.doc_id, dw.i, dw.size, item_id FROM dw JOIN win ON win.size = dw.size AND win.w = array_to_string(dw.ws[dw.i:dw.i + dw.size - 1], ' ')),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -66,9 +88,9 @@ FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op4_curve_packing, op7_line_dedup)
+    ops = (op1_minhash_dedup, op3_decontamination, op4_curve_packing, op7_line_dedup)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_line_dedup": OP7_SQL}
