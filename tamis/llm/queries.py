@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontam import contamination
+from .ftrl_quality import quality
 from .linededup import kept_digests
 from .minhash import near_duplicates
 from .packing import pack
+from .toxicity import toxicity
 
 #: Lower-cases A-Z alone, as the contracts say.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +71,11 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by scaled character n-grams."""
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that others repeat, as digests."""
     return kept_digests(read_table(spark, sf_dir, "documents"))
@@ -87,8 +94,13 @@ FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a word n-gram classifier trained with FTRL steps."""
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op3_decontamination, op4_curve_packing, op7_line_dedup)
+    ops = (op1_minhash_dedup, op3_decontamination, op4_curve_packing, op6_toxicity, op7_line_dedup, op10_quality_classifier)
     return {f.__name__: f for f in ops}
 
 
