@@ -1,6 +1,6 @@
 """Packing of token sequences along a space-filling curve.
 
-1. A text is tokenised; its token counts, hashed into COORDINATES buckets, are its vector. Random directions
+1. A text is tokenised (each distinct piece of it once per worker); its token counts, hashed into COORDINATES buckets, are its vector. Random directions
    project the vector to DIMS numbers, and the Hilbert key of that point is the document's place on the curve.
 2. The encoded documents are written once and range-sorted by (key, doc_id): documents of one key (copies)
    spread over partitions by their ids, so no key is a hot spot.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,56 +21,152 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytesvec as bv
 from .common import arrow_limits, staged
 
 LENGTH = 2048
 END_ID = 1
 COORDINATES = 256
 DIMS, BITS = 3, 16
-#: Encodings of distinct space-separated chunks that a worker remembers.
-CACHE_CHUNKS = 400_000
+#: Texts are encoded in runs of about so many bytes; the more, the fewer distinct pieces per word.
+RUN_BYTES = 4 << 20
+#: Distinct pieces of text whose ids a worker remembers.
+CACHE_PIECES = 800_000
 
 _DIRECTIONS = np.random.default_rng(5).normal(size=(COORDINATES, DIMS))
-_cache: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, "Encoder"] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _classes() -> np.ndarray:
+    c = np.full(256, 3, np.uint8)  # 3: symbols
+    c[[0x20, *range(0x09, 0x0E)]] = 0
+    c[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+    c[0x30:0x3A] = 2
+    return c
+
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+_CLASS = _classes()
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each text, without END_ID.
+class Encoder:
+    """Token ids of texts by a tokenizer that takes white space for a separator and splits runs of letters, single
+    digits and runs of symbols before its merges. Such a piece is encoded once and remembered.
 
-    The tokenizer treats white space as a separator only, so each space-separated chunk is encoded on its own
-    and remembered. Texts with the control characters that str.split() takes for white space, though the
-    tokenizer doesn't, are encoded whole.
+    Space-separated chunks that hold anything less plain (apostrophes, letters beyond U+00FF, combining or other
+    marks, what may be a special token) are pieces as a whole, so that the tokenizer itself decides on them.
     """
-    tok, cache = _tokenizer(path), _cache.setdefault(path, {})
-    kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-    pieces: list[list[str] | None] = []
-    for t in texts:
-        pieces.append(None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
-    new = {w for p in pieces if p is not None for w in p if w not in cache}
-    if len(cache) + len(new) > CACHE_CHUNKS:
-        cache.clear()
-        new = {w for p in pieces if p is not None for w in p}
-    todo = list(new)
-    for k in range(0, len(todo), 4096):
-        part = todo[k : k + 4096]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, kind).tobytes()
-    out = []
-    for t, p in zip(texts, pieces):
-        if p is None:
-            out.append(np.array(tok.encode(t, add_special_tokens=False).ids, kind))
-        else:
-            out.append(np.frombuffer(b"".join([cache[w] for w in p]), kind))
-    return out
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a piece
+        for token, k in self.tok.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _remember(self, keys: list[int], ids: list[np.ndarray] | np.ndarray, sizes: np.ndarray) -> None:
+        flat = ids if isinstance(ids, np.ndarray) else np.concatenate([*ids, np.zeros(0, self.kind)])
+        n, total = len(self.known), self.used + len(flat)
+        while total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(keys) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.pool[self.used : total] = flat
+        self.at[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(keys)] = sizes
+        self.known.update(zip(keys, range(n, n + len(keys))))
+        self.used = total
+
+    def _learn(self, keys: list[int], pieces: list[bytes], plain: list[bool]) -> None:
+        own = [k for k, x in zip(keys, plain) if x]
+        if own:
+            text = b" ".join([p for p, x in zip(pieces, plain) if x]).decode()
+            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                self._remember(own, ids, np.diff(ends, prepend=0))
+            else:  # not a tokenizer of the expected kind
+                plain = [False] * len(keys)
+        rest = [(k, p.decode()) for k, p, x in zip(keys, pieces, plain) if not x]
+        if rest:
+            ids = [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast([p for _, p in rest], add_special_tokens=False)]
+            self._remember([k for k, _ in rest], ids, np.array([len(x) for x in ids], np.int64))
+
+    def encode_run(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a run."""
+        starts, ends, plain = pieces(raw, at)
+        if not len(starts):
+            return [np.zeros(0, self.kind)] * (len(at) - 1)
+        owner = np.searchsorted(at, starts, "right") - 1
+        b = bv.LOWER[raw]
+        odd = np.repeat(~plain, ends - starts)
+        if odd.any():  # special tokens are told by case
+            inside = np.arange(int((ends - starts).sum())) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + np.repeat(starts, ends - starts)
+            b[inside[odd]] = raw[inside[odd]]
+        h = bv.span_hashes(b, starts, ends)
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(unique) > CACHE_PIECES:
+            self.clear()
+        keys = unique.tolist()
+        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0).tolist()
+        for part in (new[k : k + 20_000] for k in range(0, len(new), 20_000)):
+            f = first[part]
+            self._learn([keys[k] for k in part], [raw[s:e].tobytes() for s, e in zip(starts[f].tolist(), ends[f].tolist())], plain[f].tolist())
+        number[new] = [self.known[keys[k]] for k in new]
+        place = number[inverse]
+        size = self.size[place].astype(np.int64)
+        total = np.cumsum(size)
+        ids = self.pool[np.arange(int(total[-1])) + np.repeat(self.at[place] - (total - size), size)]
+        cut = np.concatenate([[0], total])[np.searchsorted(owner, np.arange(len(at)))]
+        return [ids[cut[k] : cut[k + 1]] for k in range(len(at) - 1)]
+
+
+def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and plainness of the pieces of a run of texts."""
+    if not len(raw):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, bool)
+    n = len(raw)
+    kind = _CLASS[raw]
+    after = np.append(raw[1:], 0)
+    # Letters from U+00C0 to U+00FF are plain: 0xC3 and a second byte other than those of the two signs there.
+    lead = (raw == 0xC3) & (after != 0x97) & (after != 0xB7)
+    second = np.append(False, lead[:-1])
+    odd = (raw == 0x27) | ((raw >= 0x80) & ~lead & ~second) | ((raw == 0x3C) & (after == 0x7C))
+    chunk_starts, chunk_ends, _ = bv.word_spans(raw, at, bv.SPACED)
+    if not len(chunk_starts):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, bool)
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(odd, out=total[1:])
+    whole = total[chunk_ends] > total[chunk_starts]
+    step = np.zeros(n + 1, np.int64)
+    step[chunk_starts[whole]] += 1
+    step[chunk_ends[whole]] -= 1
+    inside = np.cumsum(step[:-1]) > 0
+    first = np.zeros(n + 1, bool)
+    first[chunk_starts] = True
+    change = (kind != np.append(0, kind[:-1])) | (kind == 2)
+    start = (kind > 0) & (first[:-1] | (change & ~inside))
+    last = np.zeros(n + 1, bool)
+    last[chunk_ends] = True
+    last[:n] |= start & ~first[:-1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(last)
+    return starts, ends, ~inside[starts]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -114,11 +211,11 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = encoder(path)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = batch.column(1).fill_null("").to_pylist()
-            ids = encode_texts(texts, path)
+            ids = [x for _, _, raw, at in bv.text_runs(batch.column(1), RUN_BYTES) for x in tok.encode_run(raw, at)]
             keys = curve_keys(ids)
             ids = [np.append(v, np.array([END_ID], v.dtype)) for v in ids]
             yield pa.RecordBatch.from_arrays(
@@ -207,7 +304,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     as many sequences as they need. An empty table gives no pieces. sequence_id is unique, not gapless.
     """
     arrow_limits(docs.sparkSession)
-    wide = _tokenizer(path).get_vocab_size() > 1 << 16
+    wide = encoder(path).kind is np.uint32
     encoded = docs.select("doc_id", "text").mapInArrow(_encode_rows(path), "doc_id long, curve_key long, doc_tokens long, ids binary")
     encoded = staged(encoded, "encoded")
     order = ["curve_key", "doc_id", "doc_tokens"]
