@@ -12,6 +12,8 @@ from .ftrl_quality import quality
 from .linededup import kept_digests
 from .minhash import near_duplicates
 from .packing import pack
+from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .toxicity import toxicity
 
 #: Lower-cases A-Z alone, as the contracts say.
@@ -39,6 +41,11 @@ FROM s JOIN (SELECT i, min(j) AS component_id FROM r GROUP BY i) c ON c.i = s.do
 """
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and the divergence of character classes and common words from language references."""
+    return quality_rules(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark passages in them."""
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -94,13 +101,18 @@ FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, found through a trigram index."""
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a word n-gram classifier trained with FTRL steps."""
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op3_decontamination, op4_curve_packing, op6_toxicity, op7_line_dedup, op10_quality_classifier)
+    ops = (op1_minhash_dedup, op2_quality_rules, op3_decontamination, op4_curve_packing, op6_toxicity, op7_line_dedup, op9_secret_scan, op10_quality_classifier)
     return {f.__name__: f for f in ops}
 
 
