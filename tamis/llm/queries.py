@@ -15,6 +15,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
 from .toxicity import toxicity
+from .urlfilter import filter_urls
 
 #: Lower-cases A-Z alone, as the contracts say.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,6 +79,31 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+# Own rules and, for pages without one, the decision of the group that canonical links and refreshes make.
+OP5_SQL = r"""
+WITH RECURSIVE
+rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+refs AS (SELECT url, unnest([regexp_extract(html, '<link[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']([^"'']*)["'']', 1, 'i'),
+    regexp_extract(html, '<meta[^>]*http-equiv\s*=\s*["'']?refresh[^>]*content\s*=\s*["'']\s*[0-9.]+\s*[;,]\s*url\s*=\s*([^"''>\s]+)', 1, 'i')]) AS ref FROM pages),
+edges AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS u, regexp_replace(ref, '#.*$', '') AS v FROM refs WHERE ref LIKE '%://%' AND url LIKE '%://%'),
+urls AS (SELECT DISTINCT regexp_replace(coalesce(url, ''), '#.*$', '') AS a FROM pages UNION SELECT v FROM edges),
+reach AS (SELECT a AS i, a AS j FROM urls UNION SELECT r.i, e.v FROM reach r JOIN (SELECT u, v FROM edges UNION SELECT v, u FROM edges) e ON r.j = e.u),
+parts AS (SELECT DISTINCT a, CASE WHEN contains(a, '://') THEN translate(regexp_extract(substr(a, instr(a, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(a, '://') THEN regexp_replace(regexp_replace(substr(a, instr(a, '://') + 3), '^[^/?#]*', ''), '[?#].*$', '') ELSE '' END AS path FROM urls),
+own AS (SELECT a, host, path, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict
+    FROM parts LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY a, host, path),
+grp AS (SELECT i, bool_or(verdict = 'allow') AS any_allow, bool_or(verdict = 'block') AS any_block FROM reach JOIN own ON own.a = reach.j WHERE i <> '' GROUP BY i)
+SELECT p.page_id, own.host, own.path, own.rule,
+  coalesce(own.verdict, CASE WHEN grp.any_block AND NOT coalesce(grp.any_allow, FALSE) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p JOIN own ON own.a = regexp_replace(coalesce(p.url, ''), '#.*$', '') LEFT JOIN grp ON grp.i = own.a
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by scaled character n-grams."""
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -112,9 +138,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op2_quality_rules, op3_decontamination, op4_curve_packing, op6_toxicity, op7_line_dedup, op9_secret_scan, op10_quality_classifier)
+    ops = (op1_minhash_dedup, op2_quality_rules, op3_decontamination, op4_curve_packing, op5_url_filter, op6_toxicity, op7_line_dedup, op9_secret_scan, op10_quality_classifier)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL}
