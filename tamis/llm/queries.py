@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontam import contamination
 from .ftrl_quality import quality
+from .htmldiff import main_text
 from .linededup import kept_digests
 from .minhash import near_duplicates
 from .packing import pack
@@ -127,6 +128,11 @@ FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id
 """
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, found through a trigram index."""
     return scan_secrets(read_table(spark, sf_dir, "documents"))
@@ -138,7 +144,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash_dedup, op2_quality_rules, op3_decontamination, op4_curve_packing, op5_url_filter, op6_toxicity, op7_line_dedup, op9_secret_scan, op10_quality_classifier)
+    ops = (op1_minhash_dedup, op2_quality_rules, op3_decontamination, op4_curve_packing, op5_url_filter, op6_toxicity, op7_line_dedup, op8_html_extraction, op9_secret_scan, op10_quality_classifier)
     return {f.__name__: f for f in ops}
 
 
