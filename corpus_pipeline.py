@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages that turn documents into packed training sequences."""
+"""The corpus pipeline: stages that turn documents into packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
+columns of documents: toxic documents go, repeated lines are cut out of the texts, one document of each
+near-duplicate group stays, documents with benchmark passages go, and the rest is packed.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tamis.llm.common import read_table, staged
+from tamis.llm.decontam import drop_contaminated
+from tamis.llm.linededup import without_repeated_lines
+from tamis.llm.minhash import one_per_group
+from tamis.llm.packing import pack
+from tamis.llm.queries import tokenizer_path
+from tamis.llm.toxicity import drop_toxic
+
+#: Documents with a toxicity score from here on are rejected.
+TOXIC_FROM = 0.5
+#: Near-duplicates are documents whose shingle sets have at least this similarity, in percent.
+NEAR_PERCENT = 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"), cut=TOXIC_FROM)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_per_group(docs, NEAR_PERCENT)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: The first stage is a trained classifier, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on the documents of sf_dir, each stage's rows written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name)
     return docs

@@ -280,3 +280,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     out = live.select("doc_id", "text_hash", "n_shingles", node).join(answer, "node").select("doc_id", "text_hash", "n_shingles", F.col("class_id").alias("component_id"))
     alone = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_per_group(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """docs, all columns as they are, with one document of each near-duplicate group: that of the smallest doc_id.
+
+    Rows with a null doc_id or an empty set stay. Rows that repeat both doc_id and text are one document, of
+    which one row stays.
+    """
+    marks = near_duplicates(docs, percent, size)
+    gone = marks.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    gone = staged(gone, "gone")
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"))
+    kept = whole.join(gone, (F.col("_i") == F.col("_gone_id")) & (F.col("_h") == F.col("_gone_hash")), "left_anti")
+    again = staged(marks.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1"), "again")
+    if not again.isEmpty():
+        once = kept.join(again.select(F.col("doc_id").alias("_r"), F.col("text_hash").alias("_rh")), (F.col("_i") == F.col("_r")) & (F.col("_h") == F.col("_rh")), "left")
+        single = once.where("_r IS NULL").select("doc")
+        kept = single.unionByName(once.where("_r IS NOT NULL").groupBy("_i", "_h").agg(F.first("doc").alias("doc")).select("doc"))
+    return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
