@@ -17,16 +17,14 @@ from tamis.llm.linededup import without_repeated_lines
 from tamis.llm.minhash import one_per_group
 from tamis.llm.packing import pack
 from tamis.llm.queries import tokenizer_path
-from tamis.llm.toxicity import drop_toxic
+from tamis.llm.toxicity import CUT, drop_toxic
 
-#: Documents with a toxicity score from here on are rejected.
-TOXIC_FROM = 0.5
 #: Near-duplicates are documents whose shingle sets have at least this similarity, in percent.
 NEAR_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, read_table(spark, sf_dir, "labels"), cut=TOXIC_FROM)
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"), cut=CUT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
