@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("vector_plans", "cluster_plans", "stat_plans", "budget_plans", "select_plans", "retrieval_plans", "record_plans")
+MODULES: tuple[str, ...] = ("vector_plans", "cluster_plans", "stat_plans", "budget_plans", "select_plans", "retrieval_plans", "record_plans", "text_plans")
 
 
 def _all(name: str) -> dict:
