@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged
+from .common import arrow_limits, staged, tidy
 from .urlfilter import host_of, path_of
 
 # HTML element names by what they mean for text.
@@ -68,10 +68,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(name == s[0] for s in stack):
-                close_block()
-                while stack.pop()[0] != name:
-                    pass
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if depth is not None:
+                if any(s[0] in BLOCKS or s[0] in DROPPED for s in stack[depth:]):
+                    close_block()
+                del stack[depth:]
             continue
         if name == "br":
             parts.append(" ")
@@ -180,7 +181,7 @@ def _neighbour_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _partners(keys: DataFrame) -> DataFrame:
     """(uid, partner): the neighbour on the same host whose path has the longer common beginning; ties: the one before."""
     order = ["host", "path", "page_id", "uid"]
-    near = staged(keys.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbour_rows, _NEXT), "neighbours")
+    near = staged(keys.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_neighbour_rows), _NEXT), "neighbours")
     ends = sorted(near.where("edge > 0").collect(), key=lambda r: (r.host, r.path, r.page_id is not None, r.page_id or 0, r.uid))  # two rows per partition
     patch = {}
     for left, right in zip(ends, ends[1:]):
@@ -200,7 +201,7 @@ def _partners(keys: DataFrame) -> DataFrame:
                 picked.append(a if after else b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.int64())], names=["uid", "partner"])
 
-    return near.select("uid", "path", "before", "before_path", "after", "after_path").mapInArrow(choose, "uid long, partner long")
+    return near.select("uid", "path", "before", "before_path", "after", "after_path").mapInArrow(tidy(choose), "uid long, partner long")
 
 
 def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     arrow_limits(pages.sparkSession)
     url = F.col("url")
     rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    parsed = staged(rows.mapInArrow(_parse_rows, _PARSED), "parsed")
+    parsed = staged(rows.mapInArrow(tidy(_parse_rows), _PARSED), "parsed")
     open_pages = parsed.where("size(loose) > 0")
     if open_pages.isEmpty():
         done = parsed.select("page_id", "url", "text")
@@ -235,5 +236,5 @@ def main_text(pages: DataFrame) -> DataFrame:
         other = parsed.select(F.col("uid").alias("partner"), F.col("lines").alias("other")).dropDuplicates(["partner"])
         joined = open_pages.join(partner, "uid", "left").join(other, "partner", "left")
         closed = parsed.where("size(loose) = 0").select("page_id", "url", "text")
-        done = closed.unionByName(joined.select("page_id", "url", "text", "loose", "lines", "other").mapInArrow(_difference_rows, "page_id long, url string, text string"))
+        done = closed.unionByName(joined.select("page_id", "url", "text", "loose", "lines", "other").mapInArrow(tidy(_difference_rows), "page_id long, url string, text string"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
