@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import bytesvec as bv
-from .linear import SAMPLE_ROWS, keep_scored, labelled_sample, score_documents
+from .linear import SAMPLE_ROWS, Model, keep_scored, score_documents, train_on_sample
 
 BITS = 20
 CUT = 0.7
@@ -32,7 +32,7 @@ def word_ngrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (values[order] >> np.uint64(64 - BITS)).astype(np.uint32), owners[order]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.1) -> tuple[np.ndarray, float, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.1) -> Model:
     """(weights, bias, norm) by FTRL-proximal steps over the rows in a fixed shuffled order; the bias isn't penalised.
 
     Without rows every score is 0.5.
@@ -62,8 +62,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, alpha: float =
     return weights(z, n).astype(np.float32), bias, NORM
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float, float]:
-    return fit(*labelled_sample(docs, labels, "quality", word_ngrams, BITS, rows))
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    return train_on_sample(docs, labels, "quality", word_ngrams, BITS, fit, rows)
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, crc_fold
+from .common import arrow_limits, crc_fold, tidy
 
 #: Rows of the fold that no classifier may learn from.
 HELD_OUT = 2
 #: Bound of the labelled sample that a classifier is fitted on.
 SAMPLE_ROWS = 6000
 
+#: (weights of features, bias, norm)
+Model = tuple[np.ndarray, float, float]
 #: A feature function takes (bytes, offsets) of a run of texts and gives the feature numbers and their texts.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -34,29 +36,41 @@ def distinct_features(column: pa.Array, features: Features, bits: int) -> Iterat
             yield own[seen[own] == place]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most `rows` labelled documents outside the held-out fold, in order of a hash of doc_id.
-
-    Only 0 and 1 are labels; a doc_id labelled twice counts as its larger label.
+def train_on_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, fit: Callable, rows: int = SAMPLE_ROWS) -> Model:
+    """fit(features of texts, labels) on at most `rows` labelled documents outside the held-out fold, picked in the
+    order of a hash of doc_id. Only 0 and 1 are labels; a doc_id labelled twice counts as its larger label, and of
+    texts that share a doc_id one is taken. The sample is gathered and fitted by one task on an executor, so that only
+    the weights pass through the driver.
     """
-    arrow_limits(docs.sparkSession)
-    y = labels.select("doc_id", F.col(f"`{label}`").alias("y")).where(f"y IN (0, 1) AND doc_id IS NOT NULL").where(crc_fold() != HELD_OUT)
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    y = labels.select("doc_id", F.col(f"`{label}`").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").where(crc_fold() != HELD_OUT)
     y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = {r.doc_id: r.y for r in y.collect()}  # at most `rows` rows
-    if not picked:
-        return [], np.zeros(0)
-    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
+    picked = [(r.doc_id, r.y) for r in y.collect()]  # at most `rows` rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.sort(f).astype(np.uint32).tobytes() for f in distinct_features(batch.column(1), features, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "f"])
+            out = [np.sort(f).astype(np.uint32).tobytes() for f in distinct_features(batch.column(2), features, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "f"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` ids are sent out
-    table = chosen.mapInArrow(extract, "doc_id long, f binary").dropDuplicates(["doc_id", "f"]).limit(4 * rows).toArrow()
-    both = sorted(zip(table.column("doc_id").to_pylist(), table.column("f").to_pylist()))
-    del table
-    return [np.frombuffer(f, np.uint32) for _, f in both], np.array([picked[i] for i, _ in both], float)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[np.ndarray] = []
+        truth: list[int] = []
+        for batch in batches:
+            truth += batch.column(0).to_pylist()
+            texts += [np.frombuffer(f, np.uint32) for f in batch.column(1).to_pylist()]
+        weights, bias, norm = fit(texts, np.array(truth, float))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64()), pa.array([norm], pa.float64())], names=["weights", "bias", "norm"])
+
+    model = []
+    if picked:
+        ids = spark.createDataFrame(picked, "doc_id long, y int")
+        chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # at most `rows` ids are sent out
+        table = chosen.mapInArrow(tidy(extract), "doc_id long, y int, f binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("f").alias("f"))
+        model = table.repartition(1).sortWithinPartitions("doc_id").select("y", "f").mapInArrow(tidy(learn), "weights binary, bias double, norm double").collect()
+    if not model:
+        return fit([], np.zeros(0))
+    return np.frombuffer(bytes(model[0].weights), np.float32), model[0].bias, model[0].norm
 
 
 def _score_rows(model, features: Features, bits: int):
@@ -75,15 +89,15 @@ def score(f: np.ndarray, weights: np.ndarray, bias: float, norm: float) -> float
     return 1 / (1 + np.exp(-z)) if z >= 0 else np.exp(z) / (1 + np.exp(z))
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, float], features: Features, bits: int, cut: float) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, features: Features, bits: int, cut: float) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 if score >= cut)."""
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits float32 weights
-    scored = docs.select("doc_id", "text").mapInArrow(_score_rows(sent, features, bits), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(_score_rows(sent, features, bits)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def keep_scored(docs: DataFrame, model: tuple[np.ndarray, float, float], features: Features, bits: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def keep_scored(docs: DataFrame, model: Model, features: Features, bits: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of docs, all columns as they are, whose scores `keep` accepts."""
     arrow_limits(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
@@ -94,4 +108,4 @@ def keep_scored(docs: DataFrame, model: tuple[np.ndarray, float, float], feature
             scores = np.array([score(f, weights, bias, norm) for f in distinct_features(batch.column(at), features, bits)])
             yield batch.filter(pa.array(keep(scores).astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import bytesvec as bv
-from .linear import SAMPLE_ROWS, keep_scored, labelled_sample, score_documents
+from .linear import SAMPLE_ROWS, Model, keep_scored, score_documents, train_on_sample
 
 BITS = 20
 ORDERS = (5, 8)
@@ -36,10 +36,10 @@ def char_ngrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values[order], owners[order]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.03, decay: float = 1e-4, smooth: float = 1.0) -> tuple[np.ndarray, float, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.03, decay: float = 1e-4, smooth: float = 1.0) -> Model:
     """(weights of features, bias, norm): naive Bayes ratios times logistic weights fitted by AdaGrad steps.
 
-    Rows pass in a fixed shuffled order. Features of a single row keep weight 0. Without rows every score is 0.5.
+    rows is used up. Rows pass in a fixed shuffled order. Features of a single row keep weight 0. Without rows every score is 0.5.
     """
     size = 1 << BITS
     if not len(y):
@@ -47,7 +47,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.
     p, q = np.full(size, smooth), np.full(size, smooth)
     for f, t in zip(rows, y):
         (p if t else q)[f] += 1
-    rows = [f[p[f] + q[f] > 2 * smooth + 1] for f in rows]
+    for k, f in enumerate(rows):  # in place: the sample is the largest thing in memory here
+        rows[k] = f[p[f] + q[f] > 2 * smooth + 1]
     n1, n0 = y.sum(), len(y) - y.sum()
     r = np.log(p / (n1 + 2 * smooth)) - np.log(q / (n0 + 2 * smooth))
     w, g2 = np.zeros(size), np.full(size, 1e-3)
@@ -68,8 +69,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.
     return (w * r).astype(np.float32), bias, 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float, float]:
-    return fit(*labelled_sample(docs, labels, "toxic", char_ngrams, BITS, rows))
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    return train_on_sample(docs, labels, "toxic", char_ngrams, BITS, fit, rows)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
