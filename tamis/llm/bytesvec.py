@@ -13,6 +13,7 @@ import pyarrow as pa
 
 #: Texts are worked on in runs of about so many bytes (one longer text is a run of its own).
 RUN_BYTES = 1 << 20
+_SLICE = 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,17 +112,23 @@ def word_spans(b: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.nda
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span (spans in order, disjoint; they may be empty)."""
     size = ends - starts
-    full = size > 0
     out = np.zeros(len(starts), np.uint64)
-    if full.any():
+    full = np.flatnonzero(size > 0)
+    if len(full):
         n, s = size[full], starts[full]
-        first = np.zeros(len(n), np.int64)
-        np.cumsum(n[:-1], out=first[1:])
-        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-        longest = int(n.max())
-        powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-        part = _BYTE[b[place + np.repeat(s, n)]] * powers[place]
-        out[full] = np.add.reduceat(part, first)
+        last = np.cumsum(n)
+        powers = _POWERS if (longest := int(n.max())) <= len(_POWERS) else _powers(longest)
+        # In slices whose arrays stay in a core's cache.
+        cuts = np.unique(np.searchsorted(last, np.arange(_SLICE, int(last[-1]) + _SLICE, _SLICE), "right"))
+        lo = 0
+        for hi in [*cuts.tolist(), len(n)]:
+            if hi > lo:
+                k = n[lo:hi]
+                first = np.cumsum(k) - k
+                place = np.arange(int(k.sum())) - np.repeat(first, k)
+                part = _BYTE[b[place + np.repeat(s[lo:hi], k)]] * powers[place]
+                out[full[lo:hi]] = np.add.reduceat(part, first)
+                lo = hi
     return mix(out + size.astype(np.uint64) * _LEN)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged
+from .common import arrow_limits, staged, tidy
 
 WINDOW = 10
 #: Words of the benchmark in one block: 8 bytes each for hashes, and about twice as much for windows.
@@ -115,7 +115,7 @@ def _blocks(bench: DataFrame, block_words: int) -> Iterator[list[tuple[int | Non
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["item_id", "words"])
 
     block, n = [], 0
-    for row in bench.select("item_id", "text").where("text IS NOT NULL").mapInArrow(hashed, "item_id long, words binary").toLocalIterator():
+    for row in bench.select("item_id", "text").where("text IS NOT NULL").mapInArrow(tidy(hashed), "item_id long, words binary").toLocalIterator():
         words = np.frombuffer(bytes(row.words), np.uint64)
         if block and n + len(words) > block_words:
             yield block
@@ -132,6 +132,8 @@ def _count_words(vocab):
         for batch in batches:
             for _, _, raw, at in bv.text_runs(batch.column(0)):
                 h, _ = _word_hashes(raw, at)
+                if not len(v):
+                    continue
                 place = np.searchsorted(v, h)
                 place[place == len(v)] = 0
                 total += np.bincount(place[v[place] == h], minlength=len(v))
@@ -203,14 +205,14 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
         index = Windows(block, window)
         vocab = spark.sparkContext.broadcast(index.vocab)
         # At most one row per word of the block: its size is bounded by block_words.
-        seen = rows.select("text").mapInArrow(_count_words(vocab), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        seen = rows.select("text").mapInArrow(tidy(_count_words(vocab)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(index.vocab), np.int64)
         counts[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
         index.order(counts)
-        parts.append(rows.mapInArrow(_hit_rows(spark.sparkContext.broadcast(index)), "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"))
+        parts.append(rows.mapInArrow(tidy(_hit_rows(spark.sparkContext.broadcast(index))), "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"))
     if len(parts) == 1:
         merged = parts[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
-        return merged.mapInArrow(_merge_rows, _OUT)
+        return merged.mapInArrow(tidy(_merge_rows), _OUT)
     # One row per block: at most as many per text as there are blocks.
     every = [staged(p, "hits") for p in parts]
     some = every[0].where("size(spans) > 0")
@@ -220,7 +222,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     base = every[0].select("doc_id", "text_hash", "n_words")
     joined = base.join(per_text, [base.doc_id.eqNullSafe(per_text.doc_id), base.text_hash == per_text.text_hash], "left")
     empty = F.expr("array()")
-    return joined.select(base.doc_id, "n_words", F.coalesce("spans", empty.cast("array<array<struct<start:long,end:long>>>")).alias("spans"), F.coalesce("items", empty.cast("array<array<long>>")).alias("items")).mapInArrow(_merge_rows, _OUT)
+    return joined.select(base.doc_id, "n_words", F.coalesce("spans", empty.cast("array<array<struct<start:long,end:long>>>")).alias("spans"), F.coalesce("items", empty.cast("array<array<long>>")).alias("items")).mapInArrow(tidy(_merge_rows), _OUT)
 
 
 def _clean_rows(index, at: int):
@@ -245,9 +247,9 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, b
     for block in _blocks(bench, block_words):
         index = Windows(block, window)
         vocab = spark.sparkContext.broadcast(index.vocab)
-        seen = docs.select("text").mapInArrow(_count_words(vocab), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        seen = docs.select("text").mapInArrow(tidy(_count_words(vocab)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(index.vocab), np.int64)
         counts[seen.column("place").to_numpy()] = seen.column("n").to_numpy()
         index.order(counts)
-        out = out.mapInArrow(_clean_rows(spark.sparkContext.broadcast(index), docs.columns.index("text")), docs.schema)
+        out = out.mapInArrow(tidy(_clean_rows(spark.sparkContext.broadcast(index), docs.columns.index("text"))), docs.schema)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged
+from .common import arrow_limits, staged, tidy
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -143,10 +143,10 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """
     arrow_limits(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    lines = staged(rows.mapInArrow(_line_rows(min_chars), _ROW), "lines")
+    lines = staged(rows.mapInArrow(tidy(_line_rows(min_chars)), _ROW), "lines")
     order = [F.col("low"), F.col("high"), F.col("doc_id").desc(), F.col("pos")]
     along = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    decided = staged(along.mapInArrow(_stream(min_docs), _ROW + ", state byte"), "decided")
+    decided = staged(along.mapInArrow(tidy(_stream(min_docs)), _ROW + ", state byte"), "decided")
     open_rows = decided.where("state = 0").drop("state")
     key = ["low", "high"]
     # A document counts once per key: first per (key, document), then per key.
@@ -155,7 +155,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     late = open_rows.join(per_key, key).where("doc_id <> keeper")
     gone = decided.where("state = 1").select("doc_id", "text_hash", "n_lines", "pos").unionByName(late.select("doc_id", "text_hash", "n_lines", "pos"))
     per_doc = gone.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
-    return per_doc.mapInArrow(_bitmap_rows, "doc_id long, text_hash long, n_lines long, n_dropped long, keep_bitmap binary")
+    return per_doc.mapInArrow(tidy(_bitmap_rows), "doc_id long, text_hash long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def kept_text(text: str | None, keep_bitmap: bytes | None) -> str:
@@ -189,7 +189,7 @@ def kept_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """Per row of docs: doc_id, n_lines (a null or empty text is one empty line), n_dropped, kept_sha256."""
     docs = docs.select("doc_id", "text")
     marked = with_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs))
-    return marked.select("doc.doc_id", "doc.text", "n_dropped", "keep_bitmap").mapInArrow(_digest_rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("doc.doc_id", "doc.text", "n_dropped", "keep_bitmap").mapInArrow(tidy(_digest_rows), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +202,6 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     """docs with the repeated lines cut out of text, and n_chars (if there is such a column) counted anew."""
     marked = with_bitmaps(docs, line_bitmaps(docs, min_chars, min_docs))
     struct = marked.schema["doc"].dataType.simpleString()
-    new = marked.select("doc.text", "keep_bitmap", "doc").mapInArrow(_kept_rows, f"new_text string, doc {struct}")
+    new = marked.select("doc.text", "keep_bitmap", "doc").mapInArrow(tidy(_kept_rows), f"new_text string, doc {struct}")
     fresh = {"text": F.col("new_text"), "n_chars": F.when(F.col("new_text").isNotNull(), F.length("new_text").cast("long"))}
     return new.select(*(fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

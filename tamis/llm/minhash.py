@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, components, staged
+from .common import arrow_limits, components, staged, tidy
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     """
     arrow_limits(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = rows.mapInArrow(_digest_rows(size), "doc_id long, text_hash long, n_shingles long, low long, high long, bands array<long>")
+    rows = rows.mapInArrow(tidy(_digest_rows(size)), "doc_id long, text_hash long, n_shingles long, low long, high long, bands array<long>")
     rows = staged(rows, "signatures")
 
     # One class per set; its number is a hash of the set's digest.
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     chosen = texts.join(sized.select("first_id", "text_hash").distinct(), ["first_id", "text_hash"], "left_semi").dropDuplicates(["first_id", "text_hash"])
     work = dealt.join(chosen, ["first_id", "text_hash"]).select("root", "x", "y", "half", "node", "text")
     work = work.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    links = components(work.mapInArrow(_link_rows(size, percent), "u long, v long"))
+    links = components(work.mapInArrow(tidy(_link_rows(size, percent)), "u long, v long"))
 
     first = classes.select("node", "first_id")
     linked = links.join(first, "node")

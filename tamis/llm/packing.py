@@ -1,6 +1,6 @@
 """Packing of token sequences along a space-filling curve.
 
-1. A text is tokenised (each distinct piece of it once per worker); its token counts, hashed into COORDINATES buckets, are its vector. Random directions
+1. A text is tokenised (each distinct piece of it once per task); its token counts, hashed into COORDINATES buckets, are its vector. Random directions
    project the vector to DIMS numbers, and the Hilbert key of that point is the document's place on the curve.
 2. The encoded documents are written once and range-sorted by (key, doc_id): documents of one key (copies)
    spread over partitions by their ids, so no key is a hot spot.
@@ -16,13 +16,14 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged
+from .common import arrow_limits, staged, tidy
 
 LENGTH = 2048
 END_ID = 1
@@ -30,7 +31,7 @@ COORDINATES = 256
 DIMS, BITS = 3, 16
 #: Texts are encoded in runs of about so many bytes; the more, the fewer distinct pieces per word.
 RUN_BYTES = 4 << 20
-#: Distinct pieces of text whose ids a worker remembers.
+#: Distinct pieces of text whose ids a task remembers.
 CACHE_PIECES = 800_000
 
 _DIRECTIONS = np.random.default_rng(5).normal(size=(COORDINATES, DIMS))
@@ -111,7 +112,9 @@ class Encoder:
             inside = np.arange(int((ends - starts).sum())) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + np.repeat(starts, ends - starts)
             b[inside[odd]] = raw[inside[odd]]
         h = bv.span_hashes(b, starts, ends)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        inverse, unique = pd.factorize(h)
+        first = np.empty(len(unique), np.int64)
+        first[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
         if len(self.known) + len(unique) > CACHE_PIECES:
             self.clear()
         keys = unique.tolist()
@@ -145,13 +148,13 @@ def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     if not len(chunk_starts):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, bool)
-    total = np.zeros(n + 1, np.int64)
-    np.cumsum(odd, out=total[1:])
-    whole = total[chunk_ends] > total[chunk_starts]
-    step = np.zeros(n + 1, np.int64)
-    step[chunk_starts[whole]] += 1
-    step[chunk_ends[whole]] -= 1
-    inside = np.cumsum(step[:-1]) > 0
+    inside = np.zeros(n, bool)
+    if odd.any():
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(odd, out=total[1:])
+        whole = total[chunk_ends] > total[chunk_starts]
+        for s, e in zip(chunk_starts[whole].tolist(), chunk_ends[whole].tolist()):
+            inside[s:e] = True
     first = np.zeros(n + 1, bool)
     first[chunk_starts] = True
     change = (kind != np.append(0, kind[:-1])) | (kind == 2)
@@ -222,6 +225,7 @@ def _encode_rows(path: str):
                 [batch.column(0), pa.array(keys), pa.array([len(v) for v in ids], pa.int64()), pa.array([v.tobytes() for v in ids], pa.binary())],
                 names=["doc_id", "curve_key", "doc_tokens", "ids"],
             )
+        tok.clear()
 
     return run
 
@@ -305,8 +309,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """
     arrow_limits(docs.sparkSession)
     wide = encoder(path).kind is np.uint32
-    encoded = docs.select("doc_id", "text").mapInArrow(_encode_rows(path), "doc_id long, curve_key long, doc_tokens long, ids binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(tidy(_encode_rows(path)), "doc_id long, curve_key long, doc_tokens long, ids binary")
     encoded = staged(encoded, "encoded")
     order = ["curve_key", "doc_id", "doc_tokens"]
     along = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
-    return along.select("doc_id", "ids").mapInArrow(_pack_rows(length, wide), PIECES)
+    return along.select("doc_id", "ids").mapInArrow(tidy(_pack_rows(length, wide)), PIECES)

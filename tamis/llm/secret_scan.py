@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytesvec as bv
-from .common import arrow_limits
+from .common import arrow_limits, tidy
 
 
 @dataclass(frozen=True)
@@ -255,4 +255,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     are ignored. A null text is empty and holds nothing; rows that repeat are scanned each.
     """
     arrow_limits(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_scan_rows(RULES), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_scan_rows(RULES)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
