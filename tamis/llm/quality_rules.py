@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged
+from .common import arrow_limits, staged, tidy
 
 # Common function words of the reference languages.
 COMMON_WORDS = {
@@ -35,6 +35,9 @@ GUARD_CHARS, GUARD_WORDS = 200, 50
 MAX_CLASS_DISTANCE, CLASS_SLACK = 0.235, 0.5
 MAX_WORD_DISTANCE, WORD_SLACK = 0.12, 2.0
 
+#: Marks that end words and sentences; one may follow a common word.
+STOP = ".,;:!?'\"()-"
+
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "beyond")
 _N = len(CLASSES) + len(_WORDS) + 1
@@ -46,7 +49,7 @@ def _class_table() -> np.ndarray:
     t[0x41:0x5B] = 1
     t[0x30:0x3A] = 2
     t[[0x20, *range(0x09, 0x0E)]] = 3
-    t[[ord(c) for c in ".,;:!?'\"()-"]] = 4
+    t[[ord(c) for c in STOP]] = 4
     t[0x80:] = 6
     return t
 
@@ -54,14 +57,13 @@ def _class_table() -> np.ndarray:
 _CLASS = _class_table()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-_STRIP = b".,;:!?'\"()-"
 
 
 def _word_hash_table() -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the common words, alone and with a mark that may follow, and their numbers."""
     keys, numbers = [], []
     for k, w in enumerate(_WORDS):
-        for tail in ["", *_STRIP.decode()]:
+        for tail in ["", *STOP]:
             b = np.frombuffer((w + tail).encode(), np.uint8)
             keys.append(bv.span_hashes(b, np.array([0]), np.array([len(b)]))[0])
             numbers.append(k)
@@ -180,10 +182,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     arrow_limits(docs.sparkSession)
     schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", hist array<int>"
-    measured = staged(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(_measure_rows, schema), "measures")
+    measured = staged(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(tidy(_measure_rows), schema), "measures")
     sums = [F.sum(F.col("hist")[k].cast("long")).alias(f"h{k}") for k in range(_N)]
     known = measured.where(F.col("lang").isin(list(COMMON_WORDS)))
     rows = known.groupBy("lang").agg(*sums).orderBy("lang").collect()  # one row per reference language
     references = np.array([[float(r[f"h{k}"]) for k in range(_N)] for r in rows]).reshape(len(rows), _N)
     out = "doc_id long, " + ", ".join(f"{c} long" for c in _BASE) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return measured.select("doc_id", *_BASE, "hist").mapInArrow(_judge_rows(references), out)
+    return measured.select("doc_id", *_BASE, "hist").mapInArrow(tidy(_judge_rows(references)), out)

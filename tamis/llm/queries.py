@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = f"""
 WITH RECURSIVE
-w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
         ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
 f AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
@@ -48,6 +49,48 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def _op2_sql() -> str:
+    from . import quality_rules as q
+
+    stop = re.escape(q.STOP).replace("'", "''")
+    kinds = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": stop, "beyond": r"\x{80}-\x{10FFFF}"}
+    length = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
+    parts = {k: length(v) for k, v in kinds.items()}
+    parts["symbol"] = "length(t) - " + " - ".join(parts.values())
+    words = ", ".join(f"'{w}'" for w in sorted({w for x in q.COMMON_WORDS.values() for w in x.split()}))
+    langs = ", ".join(f"'{x}'" for x in q.COMMON_WORDS)
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),
+g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE n > 1) GROUP BY doc_id),
+base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars FROM d JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+cls AS (SELECT doc_id, lang, 'class' AS part, u.k AS k, CAST(u.n AS DOUBLE) AS n FROM (SELECT doc_id, lang, unnest(list_transform(range(0, {len(q.CLASSES)}), lambda i: {{'k': list_extract(ks, i + 1), 'n': list_extract(ns, i + 1)}})) AS u FROM (SELECT doc_id, lang, [{", ".join(f"'{c}'" for c in q.CLASSES)}] AS ks, [{", ".join(parts[c] for c in q.CLASSES)}] AS ns FROM d))),
+w AS (SELECT doc_id, lang, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM d),
+wk AS (SELECT doc_id, lang, CASE WHEN w IN ({words}) THEN w WHEN regexp_matches(w, '[{stop}]$') AND w[1:length(w) - 1] IN ({words}) THEN w[1:length(w) - 1] ELSE '' END AS k FROM w),
+wrd AS (SELECT doc_id, lang, 'word' AS part, k, CAST(count(*) AS DOUBLE) AS n FROM wk GROUP BY doc_id, lang, k),
+h AS (SELECT * FROM cls UNION ALL SELECT * FROM wrd),
+refs AS (SELECT lang AS ref, part, k, sum(n) AS n FROM h WHERE lang IN ({langs}) GROUP BY lang, part, k),
+rp AS (SELECT ref, part, k, n / sum(n) OVER (PARTITION BY ref, part) AS q FROM refs),
+hp AS (SELECT doc_id, part, k, n / nullif(sum(n) OVER (PARTITION BY doc_id, part), 0) AS p FROM h),
+keys AS (SELECT DISTINCT ref, part, k FROM rp UNION SELECT DISTINCT ref, hp.part, hp.k FROM hp, (SELECT DISTINCT ref FROM rp)),
+docs AS (SELECT DISTINCT doc_id, part FROM hp WHERE p IS NOT NULL),
+js AS (SELECT docs.doc_id, keys.ref, docs.part, sqrt(greatest(0, least(1, sum({half('coalesce(hp.p, 0)', 'coalesce(rp.q, 0)')} + {half('coalesce(rp.q, 0)', 'coalesce(hp.p, 0)')}) / 2))) AS dist
+  FROM docs JOIN keys USING (part) LEFT JOIN rp ON rp.ref = keys.ref AND rp.part = keys.part AND rp.k = keys.k LEFT JOIN hp ON hp.doc_id = docs.doc_id AND hp.part = keys.part AND hp.k = keys.k GROUP BY docs.doc_id, keys.ref, docs.part),
+two AS (SELECT doc_id, ref, coalesce(max(dist) FILTER (part = 'class'), 0) AS c, coalesce(max(dist) FILTER (part = 'word'), 0) AS w FROM js GROUP BY doc_id, ref),
+near AS (SELECT doc_id, arg_min(c, c + w) AS c, arg_min(w, c + w) AS w FROM two GROUP BY doc_id),
+v AS (SELECT base.*, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, chars >= {q.GUARD_CHARS} AND n_words >= {q.GUARD_WORDS}
+  AND (c > {q.MAX_CLASS_DISTANCE} + {q.CLASS_SLACK} / sqrt(n_words) OR w > {q.MAX_WORD_DISTANCE} + {q.WORD_SLACK} / sqrt(n_words)) AS far FROM base LEFT JOIN near USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(far, FALSE) AS kept FROM v
+"""
+
+
+OP2_SQL = _op2_sql()
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark passages in them."""
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -149,4 +192,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_line_dedup": OP7_SQL}
