@@ -8,9 +8,10 @@
 3. Bands of the signature give bucket keys. A bucket ties its members to its smallest class only (a star:
    n - 1 edges, never all pairs). Connected components of the stars are candidate groups: any two classes
    that share a bucket are in the same group.
-4. Inside a group, similarities are counted exactly on full shingle sets. A group is dealt into blocks of
-   bounded size and each pair of blocks is a task of its own, so no group has to fit one task. Of the links
-   found, a task returns a spanning forest, not all pairs.
+4. Inside a group, similarities are counted exactly on full shingle sets. A group of more than one block of
+   bounded size first has all its members compared with one hub, in a single pass; those linked to it are one
+   component and are not compared with each other. Every pair of blocks that is left is a task of its own, so no
+   group has to fit one task. Of the links found, a task returns a spanning forest, not all pairs.
 5. Components of these links are the answer.
 
 With 32 bands of 6 rows a pair of similarity 0.85 shares no bucket with probability 3e-7 (0.8: 6e-5).
@@ -31,7 +32,7 @@ from .common import arrow_limits, components, staged, tidy
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 #: Shingles in one block of a candidate group; a task holds two blocks.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 
 _TRIES = 4096
 _draw = np.random.default_rng(77)
@@ -227,6 +228,40 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
+def _spoke_rows(size: int, percent: int):
+    """Rows (root, hub, hub_text, node, text), sorted by root: the nodes that are linked to their group's hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, hub_set = None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            hubs, nodes = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            for k, s in enumerate(shingle_sets(batch.column(4), size)):
+                r = batch.column(0)[k].as_py()
+                if r != root:
+                    root, hub_set = r, next(shingle_sets(batch.column(2).slice(k, 1), size))
+                n = len(np.intersect1d(s, hub_set, assume_unique=True))
+                if nodes[k] != hubs[k] and n and 100 * n >= percent * (len(s) + len(hub_set) - n):
+                    out.append((nodes[k], hubs[k]))
+            if out:
+                yield _edges(out)
+
+    return run
+
+
+def _spokes(sized: DataFrame, chosen: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) of large groups' members to their hub: the member that shares most buckets with others."""
+    member = sized.select("root", "node", F.explode("bands").alias("key"))
+    held = staged(member.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    degree = member.join(held, ["root", "key"]).groupBy("root", "node").agg(F.sum("n").alias("degree"))
+    hub = degree.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
+    hub = hub.join(sized.select("root", "node", "first_id", "text_hash"), ["root", "node"]).join(chosen, ["first_id", "text_hash"])
+    hub = staged(hub.select("root", F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hubs")
+    rows = sized.select("root", "node", "first_id", "text_hash").join(chosen, ["first_id", "text_hash"]).select("root", "node", "text")
+    both = rows.join(hub, "root").select("root", "hub", "hub_text", "node", "text").sortWithinPartitions("root")
+    return both.mapInArrow(tidy(_spoke_rows(size, percent)), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Group documents whose word-shingle sets have 100 * intersection >= percent * union, transitively.
 
@@ -255,21 +290,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     stars = member.join(centre, "key").where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     groups = components(stars)
 
-    # Tasks: one per group, or one per pair of blocks of a large group.
-    sized = groups.join(classes.select("node", "n_shingles", "first_id", "text_hash"), "node")
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("nb"))
-    block = F.pmod(F.xxhash64("node", F.lit(11)), F.col("nb")).cast("int")
-    dealt = sized.join(blocks, "root").withColumn("block", block)
-    # A block meets itself and every other block once.
-    dealt = dealt.select(
-        "root", "node", "first_id", "text_hash", "block",
-        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"),
-    ).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("half"), "node", "first_id", "text_hash")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text", F.xxhash64("text").alias("text_hash")).dropna(subset=["first_id"])
+    sized = groups.join(classes.select("node", "n_shingles", "first_id", "text_hash", "bands"), "node")
     chosen = texts.join(sized.select("first_id", "text_hash").distinct(), ["first_id", "text_hash"], "left_semi").dropDuplicates(["first_id", "text_hash"])
+
+    # Groups of more than one block: what is linked to the group's hub needs no comparison among itself.
+    large = staged(sized.groupBy("root").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > block_shingles).select("root"), "large")
+    spokes = None
+    if not large.isEmpty():
+        spokes = staged(_spokes(sized.join(large, "root", "left_semi"), chosen, size, percent), "spokes")
+        core = spokes.select(F.col("u").alias("node")).union(spokes.select(F.col("v").alias("node"))).distinct().withColumn("core", F.lit(True))
+        sized = sized.join(core, "node", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    else:
+        sized = sized.withColumn("core", F.lit(False))
+
+    # Tasks: one per group, or one per pair of blocks. Blocks 0 to open - 1 hold what isn't core and meet every
+    # block, themselves included; the other blocks hold the core and meet only those.
+    share = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) / block_shingles).cast("int")
+    counts = sized.groupBy("root").agg(share(~F.col("core")).alias("open"), share(F.col("core")).alias("closed"))
+    dealt = sized.join(staged(counts, "blocks"), "root")
+    own = F.when(F.col("core"), F.col("closed")).otherwise(F.col("open"))
+    dealt = dealt.withColumn("block", (F.pmod(F.xxhash64("node", F.lit(11)), own) + F.when(F.col("core"), F.col("open")).otherwise(0)).cast("int"))
+    meets = F.when(F.col("core"), F.col("open")).otherwise(F.col("open") + F.col("closed"))
+    dealt = dealt.where(meets > 0).select(
+        "root", "node", "first_id", "text_hash", "block", F.explode(F.sequence(F.lit(0), meets - 1)).alias("other")
+    ).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("half"), "node", "first_id", "text_hash")
     work = dealt.join(chosen, ["first_id", "text_hash"]).select("root", "x", "y", "half", "node", "text")
     work = work.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    links = components(work.mapInArrow(tidy(_link_rows(size, percent)), "u long, v long"))
+    found = work.mapInArrow(tidy(_link_rows(size, percent)), "u long, v long")
+    links = components(found if spokes is None else found.unionByName(spokes))
 
     first = classes.select("node", "first_id")
     linked = links.join(first, "node")

@@ -128,7 +128,7 @@ def mutated(seed, copies=40, words=80):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-@pytest.mark.parametrize("block", [1_500_000, 500])
+@pytest.mark.parametrize("block", [500_000, 500])
 def test_near_duplicates(spark, percent, block):
     rows = list(enumerate(ODD + ODD[3:6] + mutated(1) + mutated(2, 20, 7) + ["Same Text here now ok"] * 5 + ["same text HERE now OK"]))
     df = clash(docs(spark, [t for _, t in rows]).repartition(3))
