@@ -14,7 +14,8 @@ from . import bytesvec as bv
 from .linear import SAMPLE_ROWS, Model, keep_scored, score_documents, train_on_sample
 
 BITS = 20
-ORDERS = (5, 8)
+#: n-grams of any place, and n-grams that begin with white space: the beginnings of words.
+ANYWHERE, WORD_STARTS = (6,), (9,)
 CUT = 0.3
 
 
@@ -27,8 +28,12 @@ def char_ngrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = bv.mix(chars.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
     values, owners = [], []
-    for n in ORDERS:
+    space = (chars == 0x20) | ((chars >= 0x09) & (chars <= 0x0D))
+    for n in ANYWHERE + WORD_STARTS:
         places, value = bv.windows(h, owner, n)
+        if n in WORD_STARTS:
+            begins = space[places]
+            places, value = places[begins], value[begins]
         values.append((value >> np.uint64(64 - BITS)).astype(np.uint32))
         owners.append(owner[places])
     values, owners = np.concatenate(values), np.concatenate(owners)
