@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from conftest import DATA
 from test_oracles import rows_of
@@ -47,3 +49,41 @@ def test_stages_on_odd_tables(spark):
             docs = stage(spark, docs, DATA)
             docs.count()
     assert docs.columns[0] == "doc_id"
+
+
+def test_stages_by_brute_force(spark):
+    """Each stage against a plain version of it, on what the stage before it really kept."""
+    from test_llm_operators import ALNUM, LOW, brute_groups, brute_lines, check_pieces
+
+    from tamis.llm.toxicity import CUT, toxicity
+
+    def rows(df):
+        return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    clean = stages["toxicity"](spark, docs, DATA)
+    scores = {r.doc_id: r.score for r in toxicity(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+    assert {i for i, _ in rows(clean)} == {i for i, s in scores.items() if s < CUT}
+
+    lined = stages["line_dedup"](spark, clean, DATA)
+    got = sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows(lined))
+    assert got == sorted((i, s) for i, _, _, s in brute_lines(rows(clean)))
+    assert all(r.n_chars == len(r.text) for r in lined.collect())
+
+    single = stages["near_dedup"](spark, lined, DATA)
+    assert {i for i, _ in rows(single)} == {i for i, (_, c) in brute_groups(rows(lined), 80).items() if i == c}
+
+    fresh = stages["decontamination"](spark, single, DATA)
+    passages = [ALNUM.findall(r.text.translate(LOW)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    windows = {tuple(p[k : k + min(10, len(p))]) for p in passages for k in range(len(p) - min(10, len(p)) + 1) if p}
+    sizes = {len(w) for w in windows}
+
+    def hit(t):
+        w = ALNUM.findall(t.translate(LOW))
+        return any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    assert {i for i, _ in rows(fresh)} == {i for i, t in rows(single) if not hit(t)}
+
+    check_pieces(rows(fresh), stages["packing"](spark, fresh, DATA).collect(), 2048)
