@@ -222,3 +222,36 @@ def checkpoint_context_filter(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     context = c.groupBy("conv_id").agg(F.md5(F.min_by("role", "turn")).alias("context")).where(F.col("context") == F.md5(F.lit("user")))
     return c.join(context.select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "role")
+
+
+# ---- streams ---------------------------------------------------------------------------------------------
+
+
+@R.add("SELECT event_type AS method, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def stream_append_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events read as a stream of files and appended once each; the sink, read back, has them all."""
+    from ..streaming.records import append_once, read_records
+
+    sink = scratch(spark, "sink")
+    schema = table(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    append_once(read_records(spark, f"{d}/events.parque[t]", schema), sink, scratch(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(sink).groupBy(F.col("event_type").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@R.add("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS method, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def stream_windowed_means(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means of the stream by event time, with a watermark; the stream's last state of every window."""
+    from ..streaming.records import read_records, windowed_means
+
+    sink = scratch(spark, "windows")
+    schema = table(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    events = read_records(spark, f"{d}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = windowed_means(events, "ts", "event_type", "value", "1 day", "2 days")
+    flat = stream.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("method"), "n", F.round("mean", 6).alias("mean"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    flat.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(sink).groupBy("day", "method").agg(F.max_by(F.struct("n", "mean"), "batch").alias("s"))
+    return last.select("day", "method", "s.n", "s.mean")
