@@ -22,16 +22,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _over(a: Column, n: Column) -> Column:
+    """a / n, with n worked out once per row: inside a lambda it would be once per element."""
+    return F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: x / y)
+
+
 def l2(a: Column, eps: float = 1e-12) -> Column:
     """a / (norm + eps)."""
-    n = norm(a)
-    return F.transform(a, lambda x: x / (n + eps))
+    return _over(a, norm(a) + eps)
 
 
 def l2_floor(a: Column, eps: float = 1e-12) -> Column:
     """a / max(norm, eps)."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x / n)
+    return _over(a, F.greatest(norm(a), F.lit(eps)))
 
 
 def joint(a: Column, b: Column, share: float) -> Column:
@@ -52,7 +55,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def to_matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), float).reshape(len(series), -1)
+    return np.stack(series.to_numpy()).astype(float) if len(series) else np.zeros((0, 0))
 
 
 def fourier(w: np.ndarray, b: np.ndarray):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng, vectors as V
@@ -25,43 +25,51 @@ def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     return means.withColumn("centroid", V.l2(F.col("centroid")))
 
 
-def nearest(vector: Column, choices: Column) -> Column:
-    """Id of the choice (array of structs id, vec) with the largest dot product; ties: the smallest id."""
-    scored = F.transform(choices, lambda c: F.struct(F.round(V.dot(vector, c["vec"]), PLACES).alias("s"), (-c["id"]).alias("n")))
-    return -F.array_max(scored)["n"]
+def nearest(choices: dict[int, tuple[list[int], np.ndarray]]):
+    """Scalar pandas function of (vector, group): the id of the group's row with the largest dot product, by one matrix
+    product per batch and group; ties: the smallest id. choices: ids in rising order and their vectors, per group."""
+
+    @F.pandas_udf("int")
+    def pick(vector: pd.Series, group: pd.Series) -> pd.Series:
+        out = np.zeros(len(vector), np.int32)
+        for g, rows in group.groupby(group).indices.items():
+            ids, m = choices[int(g)]
+            out[rows] = np.array(ids)[np.argmax(np.round(V.to_matrix(vector.iloc[rows]) @ m.T, PLACES), axis=1)]
+        return pd.Series(out)
+
+    return pick
 
 
 def assign(df: DataFrame, vector: str, cents: DataFrame, name: str = "cluster") -> DataFrame:
-    """Adds the nearest centroid's id. cents (cluster, centroid) has one row per cluster: a bounded table, sent out as one array."""
-    row = cents.agg(F.sort_array(F.collect_list(F.struct(F.col("cluster").cast("int").alias("id"), F.col("centroid").alias("vec")))).alias("_choices"))
-    return df.crossJoin(F.broadcast(row)).withColumn(name, nearest(F.col(vector), F.col("_choices")).cast("int")).drop("_choices")
+    """Adds the nearest centroid's id. cents (cluster, centroid) has one row per cluster: a bounded table."""
+    rows = sorted((int(r.cluster), list(r.centroid)) for r in cents.select("cluster", "centroid").collect())
+    choices = {0: ([i for i, _ in rows], np.array([v for _, v in rows]))}
+    return df.withColumn(name, nearest(choices)(F.col(vector), F.lit(0)))
 
 
 def lloyd(df: DataFrame, key: str, vector: str, k: int, rounds: int, seed: str, group: str | None = None) -> DataFrame:
     """Spherical k-means from a fixed start, inside each group if one is named: df with a column cluster (0..k-1).
 
     The start of a group is its first k vectors by a hash of seed and key. A cluster that gets no vector keeps its
-    centroid. Rows never move: each round maps rows against the centroids of their group (k per group, sent out as
-    a map) and adds up vectors per cluster (partial sums first), whatever the sizes of groups are.
+    centroid. Rows never move: each round maps rows against the centroids of their group (k per group, sent out
+    with the function) and adds up vectors per cluster (partial sums first), whatever the sizes of groups are.
     """
-    spark = df.sparkSession
     base = df.withColumn("_g", F.col(group).cast("int") if group else F.lit(0)).persist()
     w = Window.partitionBy("_g").orderBy(F.md5(rng.keyed(seed, key)), key)
     start = base.select("_g", key, vector, F.row_number().over(w).alias("_r")).where(F.col("_r") <= k).collect()
-    cents = {(r["_g"], r["_r"] - 1): list(r[vector]) for r in start}
+    cents = {(r["_g"], r["_r"] - 1): np.array(r[vector]) for r in start}
 
     def assigned() -> DataFrame:
-        rows: dict = {}
-        for (g, c), v in sorted(cents.items()):
-            rows.setdefault(g, []).append((c, v))
-        table = spark.createDataFrame([(g, v) for g, v in rows.items()], "_g int, _choices array<struct<id:int,vec:array<double>>>")
-        return base.join(F.broadcast(table), "_g").withColumn("cluster", nearest(F.col(vector), F.col("_choices")).cast("int")).drop("_choices")
+        groups = sorted({g for g, _ in cents})
+        ids = {g: sorted(c for h, c in cents if h == g) for g in groups}
+        choices = {g: (ids[g], np.stack([cents[(g, c)] for c in ids[g]])) for g in groups}
+        return base.withColumn("cluster", nearest(choices)(F.col(vector), F.col("_g")))
 
     for _ in range(rounds):
         means = assigned().groupBy("_g", "cluster").agg(V.mean_vector(F.col(vector)).alias("m"))
         for r in means.collect():  # k rows per group
             m = np.array(r.m)
-            cents[(r["_g"], r.cluster)] = (m / (np.linalg.norm(m) + 1e-12)).tolist()
+            cents[(r["_g"], r.cluster)] = m / (np.linalg.norm(m) + 1e-12)
     return assigned().drop("_g")
 
 
