@@ -30,10 +30,13 @@ END_ID = 1
 COORDINATES = 256
 DIMS, BITS = 3, 16
 #: Texts are encoded in runs of about so many bytes; the more, the fewer distinct pieces per word.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Distinct pieces of text whose ids a task remembers.
 CACHE_PIECES = 800_000
 
+#: Ids in one row of the encoded table: longer documents are several rows, so that rows are of like sizes.
+CHUNK_IDS = 4096
+
 _DIRECTIONS = np.random.default_rng(5).normal(size=(COORDINATES, DIMS))
 _encoders: dict[str, "Encoder"] = {}
 
@@ -220,10 +223,18 @@ def _encode_rows(path: str):
                 continue
             ids = [x for _, _, raw, at in bv.text_runs(batch.column(1), RUN_BYTES) for x in tok.encode_run(raw, at)]
             keys = curve_keys(ids)
-            ids = [np.append(v, np.array([END_ID], v.dtype)) for v in ids]
+            docs, places, sizes, starts, chunks = [], [], [], [], []
+            for doc, key, v in zip(batch.column(0).to_pylist(), keys.tolist(), ids):
+                v = np.append(v, np.array([END_ID], v.dtype))
+                for k in range(0, len(v), CHUNK_IDS):
+                    docs.append(doc)
+                    places.append(key)
+                    sizes.append(len(v))
+                    starts.append(k)
+                    chunks.append(v[k : k + CHUNK_IDS].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys), pa.array([len(v) for v in ids], pa.int64()), pa.array([v.tobytes() for v in ids], pa.binary())],
-                names=["doc_id", "curve_key", "doc_tokens", "ids"],
+                [*(pa.array(x, pa.int64()) for x in (docs, places, sizes, starts)), pa.array(chunks, pa.binary())],
+                names=["doc_id", "curve_key", "doc_tokens", "start", "ids"],
             )
         tok.clear()
 
@@ -241,11 +252,11 @@ class _Packer:
         self.open: list[tuple] = []  # pieces of the sequence that isn't full yet: doc_id, start, ids, doc_tokens
         self.done: list[tuple] = []
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
+    def add(self, doc_id, doc_tokens: int, start: int, ids: np.ndarray) -> None:
         n, at = len(ids), 0
         while at < n:
             take = min(n - at, self.length - self.fill)
-            self.open.append((doc_id, at, ids[at : at + take], n))
+            self.open.append((doc_id, start + at, ids[at : at + take], doc_tokens))
             self.fill += take
             at += take
             if self.fill == self.length:
@@ -288,8 +299,8 @@ def _pack_rows(length: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId(), length)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, np.frombuffer(ids, kind))
+            for doc_id, n, start, ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                packer.add(doc_id, n, start, np.frombuffer(ids, kind))
                 if len(packer.done) >= 5000:
                     yield packer.batch()
         packer.finish()
@@ -309,8 +320,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """
     arrow_limits(docs.sparkSession)
     wide = encoder(path).kind is np.uint32
-    encoded = docs.select("doc_id", "text").mapInArrow(tidy(_encode_rows(path)), "doc_id long, curve_key long, doc_tokens long, ids binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(tidy(_encode_rows(path)), "doc_id long, curve_key long, doc_tokens long, start long, ids binary")
     encoded = staged(encoded, "encoded")
-    order = ["curve_key", "doc_id", "doc_tokens"]
+    order = ["curve_key", "doc_id", "doc_tokens", "start"]
     along = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
-    return along.select("doc_id", "ids").mapInArrow(tidy(_pack_rows(length, wide)), PIECES)
+    return along.select("doc_id", "doc_tokens", "start", "ids").mapInArrow(tidy(_pack_rows(length, wide)), PIECES)
