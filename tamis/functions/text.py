@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_WHITE = " \t\n\x0b\f\r"
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def normal(text: Column) -> Column:
     """Trimmed, outer double quotes off, every run of white space one space."""
-    bare = F.regexp_replace(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), '^"+|"+$', "")
+    bare = F.btrim(F.btrim(text, F.lit(_WHITE)), F.lit('"'))
     return F.trim(F.regexp_replace(bare, _SPACE, " "))
 
 
@@ -21,14 +22,14 @@ def key(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Number of space-separated words of a normal text."""
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
 
 
 def phrase(text: Column, most_words: int = 6, most_chars: int = 48) -> Column:
     """A short phrase in normal form, or null: lower case, _ as space, outer punctuation off; one to six words, not
     too long, and not mostly the same word again."""
     p = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), _SPACE, " "))
-    p = F.regexp_replace(p, r"^[ .,:;/-]+|[ .,:;/-]+$", "")
+    p = F.btrim(p, F.lit(" .,:;/-"))
     w = F.split(p, " ")
     repeats = (F.size(w) > 3) & (F.size(F.array_distinct(w)) <= F.greatest(F.lit(1), F.floor(F.size(w) / 3)))
     return F.when((p != "") & (F.size(w) <= most_words) & (F.length(p) <= most_chars) & ~repeats, p)

@@ -40,14 +40,15 @@ def judge(df: DataFrame, text: str, family: str, family_order: str, pos: str, ar
     """Adds reason: malformed (null), short, artifact, within (an earlier text of the family has its key), cross (a
     family before it has), or kept. Families come by family_order, texts by pos; only texts that pass the first
     rules make others duplicates, so a key's first such text is kept and its family tells the two kinds apart."""
-    q = normal(F.col(text))
+    q = F.col("_q")  # a column of its own: what follows looks at it several times
+    df = df.withColumn("_q", normal(F.col(text)))
     early = F.when(F.col(text).isNull(), "malformed").when(words(q) < least_words, "short").when(q.rlike(artifacts), "artifact")
     rows = df.withColumn("_early", early).withColumn("_key", F.when(early.isNull(), key(q)))
     first = Window.partitionBy("_key", *([] if across else [family])).orderBy(family_order, pos)
     ranked = rows.withColumn("_n", F.row_number().over(first)).withColumn("_f", F.first(family).over(first))
     # Within a later family, its own first text meets the earlier family's, and so do the others: all are cross.
     reason = F.coalesce(F.col("_early"), F.when(F.col("_n") == 1, "kept").when(F.col("_f") == F.col(family), "within").otherwise("cross"))
-    return ranked.withColumn("reason", reason).drop("_early", "_key", "_n", "_f")
+    return ranked.withColumn("reason", reason).drop("_q", "_early", "_key", "_n", "_f")
 
 
 def trim(df: DataFrame, family: str, family_order: str, pos: str, key_columns: list[str], total: int, protected: list | None = None) -> DataFrame:
