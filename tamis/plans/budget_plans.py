@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import apportion as A
 from ..operators.stats import filled_gaps, guarded_correlation
-from ..sources.pairs import PAIRS_SQL, pairs, table
+from ..sources.pairs import pairs, table
 from .base import Registry
 from .stat_plans import GAPS_SQL, LINES_SQL, SPREAD_SQL, gaussian_gaps, sliced, spread
 

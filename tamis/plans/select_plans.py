@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -11,7 +11,7 @@ from ..operators import apportion as A, select as X
 from ..operators.clustering import centroids
 from ..sources.pairs import PAIRS_SQL, pairs
 from .base import Registry
-from .budget_plans import AWARE_SQL, FINE_SQL, GAP_TOTAL, SPLIT_SQL, SW_AWARE_SQL, clr_sql, gap_budgets, prop_sql, v21_fine, v3_fine
+from .budget_plans import AWARE_SQL, SPLIT_SQL, SW_AWARE_SQL, clr_sql, gap_budgets, prop_sql, v21_fine, v3_fine
 from .cluster_plans import CENTROIDS_SQL, mean_sql, unit_sql
 from .stat_plans import GRID_SQL, features, gridded
 
