@@ -20,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import bytesvec as bv
 from .common import arrow_limits, staged, tidy

@@ -20,7 +20,7 @@ from tamis.llm import ftrl_quality, htmldiff, linededup, packing, quality_rules,
 from tamis.llm.common import components
 from tamis.llm.decontam import contamination, drop_contaminated
 from tamis.llm.linear import HELD_OUT
-from tamis.llm.minhash import exact_links, near_duplicates, one_per_group, shingle_sets, signature
+from tamis.llm.minhash import exact_links, near_duplicates, one_per_group, signature
 from tamis.llm.queries import tokenizer_path
 from tamis.llm.urlfilter import RULES, alias_edges, filter_urls
 
