@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from ..session import reach
+
 #: DuckDB form of functions.rng.uniform for a text expression.
 UNIFORM = "(CAST(concat('0x', substr(md5({key}), 1, 8)) AS BIGINT) / 4294967296.0)"
 #: and of gaussian_of.
@@ -19,8 +22,13 @@ class Registry:
 
     def add(self, sql: str | None = None, name: str | None = None):
         def keep(f: Callable) -> Callable:
+            @functools.wraps(f)
+            def query(spark, sf_dir):
+                reach(spark)
+                return f(spark, sf_dir)
+
             key = name or f.__name__
-            self.queries[key] = f
+            self.queries[key] = query
             if sql is not None:
                 self.oracles[key] = sql
             return f

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -17,4 +19,18 @@ def build(name: str = "tamis", master: str | None = None, **conf: str) -> SparkS
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    reach(spark)
+    return spark
+
+
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder the session was started in.
+
+    On a cluster whose executors don't see that path, send the package along with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
