@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reach
+
 #: Upper bound for one Arrow batch on its way to a Python worker.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
@@ -21,7 +23,9 @@ _local_folder: list[str] = []
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker."""
+    """Bound Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker, and let workers
+    import this package."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
