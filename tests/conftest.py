@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tamis.session import reach  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,6 +18,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    reach(s)
     yield s
     s.stop()
 
