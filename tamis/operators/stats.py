@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +14,93 @@ from .sampling import exact_sample
 from .scores import relevance
 
 
-def median_bandwidth(df: DataFrame, key: str, vector: str, most: int = 2000, seed: str = "bandwidth") -> float:
-    """sqrt(median squared distance / 2) over the pairs of at most `most` points drawn by a hash."""
-    sample = exact_sample(df.select(key, vector), key, most, seed).toPandas()
-    x = V.to_matrix(sample[vector])
-    if len(x) < 2:
-        return float(np.sqrt(1e-12 / 2))
-    gram = x @ x.T
-    squares = np.diag(gram)
-    d2 = (squares[:, None] + squares[None, :] - 2 * gram)[np.triu_indices(len(x), 1)]
-    return float(np.sqrt(max(float(np.median(d2)), 1e-12) / 2))
+#: Bins of one pass over the distances of all pairs, and distances that are worked out at a time.
+BINS, TILE = 1 << 14, 1 << 19
+
+
+def median_bandwidth(df: DataFrame, key: str, vector: str, most: int | None = None, seed: str = "bandwidth") -> float:
+    """sqrt(median squared distance / 2) over all pairs of rows; with most, over those of so many rows drawn by a hash."""
+    rows = df.select(key, vector)
+    d2 = median_pair_distance(rows if most is None else exact_sample(rows, key, most, seed), key, vector)
+    return float(np.sqrt(max(d2 or 0.0, 1e-12) / 2))
+
+
+def median_pair_distance(df: DataFrame, key: str, vector: str, block_rows: int = 16384) -> float | None:
+    """Median of the squared distances of all pairs of different rows; None without a pair.
+
+    Rows are dealt into blocks by a hash, and each pair of blocks is a task of its own. A pass counts distances in BINS
+    bins and the next one looks only into the bin with the median: nothing is kept per pair, and the driver sees one
+    row per bin. Two middle values in different bins are the largest and the smallest value on the two sides of an edge.
+    """
+    n, longest = df.agg(F.count(F.lit(1)), F.max(V.dot(F.col(vector), F.col(vector)))).first()
+    if n < 2:
+        return None
+    blocks = max(8, -(-n // block_rows))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("_b", o).alias("x"), F.greatest("_b", o).alias("y"), (o < F.col("_b")).alias("right")))
+    dealt = df.select(own.alias("_b"), F.col(key).alias("_k"), F.col(vector).alias("_v")).select(F.explode(cell).alias("_o"), "_k", "_v")
+    cells = dealt.select("_o.*", "_k", "_v").repartition("x", "y").persist()  # read in every pass
+    first, second = (n * (n - 1) // 2 - 1) // 2, n * (n - 1) // 4
+    low, width = 0.0, 4 * longest * (1 + 1e-9) or 1.0  # of unit vectors: 4
+    least = width * 1e-12
+    try:
+        while width > least:
+            tally = sorted(cells.groupBy("x", "y").applyInPandas(_tally(low, BINS / width), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
+            ends = np.cumsum([r.n for r in tally])
+            a, b = (tally[int(np.searchsorted(ends, rank, side="right"))].bin for rank in (first, second))
+            if a != b:
+                edge = cells.groupBy("x", "y").applyInPandas(_sides(low, BINS / width, a, b), "below double, above double")
+                return float(sum(edge.agg(F.max("below"), F.min("above")).first()) / 2)
+            width /= BINS
+            low += (min(max(a, 1), BINS) - 1) * width  # beyond an end: by rounding only
+        return low + width / 2
+    finally:
+        cells.unpersist()
+
+
+def _cell_bins(pdf: pd.DataFrame, low: float, scale: float) -> Iterator[np.ndarray]:
+    """(d2 - low) * scale + 1 of the pairs of two blocks, or of one with itself, some rows at a time, within 0 and BINS + 1.
+
+    The whole parts are bins: 1 to BINS from low on, 0 below, BINS + 1 above. Norms, shift and scale are columns of the
+    factors, so all of it is one matrix product.
+    """
+    pdf = pdf.sort_values("_k", kind="stable")
+    x = V.to_matrix(pdf["_v"][~pdf["right"]])
+    own = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+    y = x if own else V.to_matrix(pdf["_v"][pdf["right"]])
+    if not len(x) or not len(y):
+        return
+    left = np.column_stack([-2 * scale * x, ((x * x).sum(axis=1) - low) * scale + 1, np.ones(len(x))])
+    right = np.column_stack([y, np.ones(len(y)), (y * y).sum(axis=1) * scale]).T
+    step = max(1, TILE // len(y))
+    for lo in range(0, len(x), step):
+        t = left[lo : lo + step] @ right[:, lo if own else 0 :]
+        np.clip(t, 0, BINS + 1, out=t)
+        yield t[np.triu(np.ones(t.shape, bool), 1)] if own else t.ravel()
+
+
+def _tally(low: float, scale: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(BINS + 2, np.int64)
+        for t in _cell_bins(pdf, low, scale):
+            counts += np.bincount(t.astype(np.int64), minlength=BINS + 2)
+        held = np.flatnonzero(counts)
+        return pd.DataFrame({"bin": held, "n": counts[held]})
+
+    return run
+
+
+def _sides(low: float, scale: float, last: int, next_: int):
+    """The largest distance in bin `last` and the smallest one in bin `next_`, with none between them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        below, above = -np.inf, np.inf
+        for t in _cell_bins(pdf, low, scale):
+            near = t[(t >= last) & (t < next_ + 1)]
+            below, above = max(below, near[near < last + 1].max(initial=-np.inf)), min(above, near[near >= next_].min(initial=np.inf))
+        return pd.DataFrame({"below": [(below - 1) / scale + low], "above": [(above - 1) / scale + low]})
+
+    return run
 
 
 def mmd2(left: DataFrame, right: DataFrame, group: str, family: str, features: str) -> DataFrame:
