@@ -19,8 +19,6 @@ from ..functions import rng, vectors as V
 from .clustering import PLACES
 
 MATRIX_ROWS = 8192
-#: Above so many rows, herding looks only at rows that are a near neighbour of some row.
-ALL_CANDIDATES = 5000
 
 
 def top(df: DataFrame, score: Column, key: str, n: int) -> DataFrame:
@@ -168,25 +166,9 @@ def greedy_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, columns:
     return rows.groupBy("_c").applyInPandas(run, "cluster int, key long, place int").withColumnRenamed("key", key)
 
 
-def herd_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, features: str, neighbours: int = 32) -> DataFrame:
-    """Kernel herding in each cluster; large ones pick only among rows that are near neighbours of some row."""
-
-    def rule(c: dict[str, np.ndarray], k: int) -> list[int]:
-        x = c[features]
-        if len(x) <= ALL_CANDIDATES:
-            return herding(x, k)
-        near: set[int] = set()
-        for lo in range(0, len(x), 1024):
-            s = x[lo : lo + 1024] @ x.T
-            s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
-            near.update(np.argpartition(-s, neighbours, axis=1)[:, :neighbours].ravel().tolist())
-        picked = herding(x, k, np.array(sorted(near)))
-        if len(picked) < k:  # the neighbourhood is smaller than the budget
-            rest = np.setdiff1d(np.arange(len(x)), picked)
-            picked += rest[: k - len(picked)].tolist()
-        return picked
-
-    return greedy_per_cluster(df, cluster, budgets, [features], rule, matrix=False)
+def herd_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, features: str) -> DataFrame:
+    """Kernel herding in each cluster; every row is a candidate, whatever the cluster's size."""
+    return greedy_per_cluster(df, cluster, budgets, [features], lambda c, k: herding(c[features], k), matrix=False)
 
 
 def farthest_rounds(df: DataFrame, key: str, vector: str, k: int, first: int) -> DataFrame:

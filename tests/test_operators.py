@@ -153,6 +153,15 @@ def test_whole_clusters_and_empty_budgets(spark):
     assert {r.pair_id for r in X.herd_per_cluster(df, "c", b, "v").collect()} == {0, 2, 4}
 
 
+def test_large_clusters_herd_among_all_rows(spark):
+    x = np.linspace(0.5, 1.0, 5100)
+    x[7] = -1.0  # in nobody's list of nearest rows, and the best second pick
+    df = spark.createDataFrame([(i, 0, [float(v)]) for i, v in enumerate(x)], "pair_id long, c int, v array<double>")
+    b = spark.createDataFrame([(0, 4)], "c int, budget long")
+    out = [r.pair_id for r in X.herd_per_cluster(df, "c", b, "v").orderBy("place").collect()]
+    assert out[:2] == [5099, 7] and out == X.herding(x[:, None], 4)
+
+
 def test_global_farthest_with_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "pair_id long, v array<double>")
     out = [r.pair_id for r in X.farthest_rounds(df, "pair_id", "v", 5, 0).orderBy("place").collect()]
