@@ -343,6 +343,16 @@ def test_url_groups(spark):
     assert got[1][1:3] == ("example.org", "/es/1") and got[9][1:3] == ("example.org", "") and got[4][1:3] == ("", "")
 
 
+def test_hot_alias_groups_and_long_chains(spark):
+    hot, chain = 3000, 200
+    rows = [(i, f"http://h{i}.net/", "<link rel=canonical href=http://example.org/es/hot>") for i in range(hot)]
+    rows += [(hot + i, f"http://c.net/{i}", f"<meta http-equiv=refresh content='0; url=/{i + 1}'>") for i in range(chain)]
+    rows += [(hot + chain, f"http://c.net/{chain}", "<link rel=canonical href=http://foo.com/de/end>"), (hot + chain + 1, "http://free.net/", None)]
+    out = {r.page_id: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert out.pop(hot + chain + 1) == (None, "allow")
+    assert len(out) == hot + chain + 1 and set(out.values()) == {(None, "block")}
+
+
 def test_rules_by_brute_force(spark):
     r = random.Random(4)
     urls = [f"{r.choice(['http', 'https'])}://{r.choice(['', 'www.', 'a.'])}{r.choice(['example.org', 'x.org', 'y.com', 'com', 'org', 'z.net'])}{r.choice(['', '/', '/es/', '/es', '/en/1', '/en/12', '/fr/', '/de/q', '/de?x', '#/de/'])}" for _ in range(200)]
