@@ -28,14 +28,21 @@ from .urlfilter import host_of, path_of
 
 # HTML element names by what they mean for text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object".split())
-DROPPED = set("head nav footer aside form button select dialog menu figcaption".split())
-BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = set("script style textarea title template iframe svg object".split())
+#: Skipped or dropped as well, but text inside an article or main.
+LOOSE_RAW, LOOSE_DROPPED = {"noscript", "math"}, {"figcaption"}
+DROPPED = set("head nav footer aside form button select dialog menu".split())
+BLOCKS = set("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words of class, id or role that mark furniture.
 FURNITURE = set("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
+#: Whole class tokens, and ids but of headings and sections, that mark furniture inside an article.
+ARTICLE_FURNITURE = set("ad ads advert advertisement advertising comment comments disqus promo share sharing social sponsor sponsored".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 header section".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -43,6 +50,11 @@ def _is_furniture(attributes: str) -> bool:
     return any(w in FURNITURE for m in _MARKED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
+def _is_article_furniture(name: str, attributes: str) -> bool:
+    found = (m for m in _NAMED.finditer(attributes) if name not in HEADINGS or m[1].lower() == "class")
+    return any(w in ARTICLE_FURNITURE for m in found for w in (m[2] or m[3] or m[4] or "").lower().split())
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, place) of each block outside furniture, in page order; place: 2 in an article, 1 in main, 0 loose."""
     out: list[tuple[str, int]] = []
@@ -78,12 +90,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.append(" ")
         if name in BLOCKS or name in DROPPED:
             close_block()
-        if name in RAW:
+        gone, place = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        if name in RAW or (name in LOOSE_RAW and place == 0):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not m[3].rstrip().endswith("/"):
-            gone, place = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            gone = gone or name in DROPPED or (name == "header" and place == 0) or (name not in ("html", "body", "article", "main") and "=" in m[3] and _is_furniture(m[3]))
+            gone = gone or name in DROPPED or (name in LOOSE_DROPPED or name == "header") and place == 0
+            if not gone and name not in ("html", "body", "article", "main") and "=" in m[3]:
+                gone = _is_article_furniture(name, m[3]) if place == 2 else _is_furniture(m[3])
             stack.append((name, gone, max(place, 2 if name == "article" else 1 if name == "main" else 0)))
     if not stack or not stack[-1][1]:
         close_block()

@@ -468,6 +468,12 @@ def test_article(spark):
     assert htmldiff.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_article_keeps_its_own_text():
+    page = """<div id="related-work">loose</div><noscript>off</noscript><article><section id="comments"><h2 class="section-header">Related</h2></section><div id="social-effects"><p>Effects</p></div>
+    <figure><figcaption>Caption</figcaption></figure><p>If <math><mi>x</mi></math> <noscript>plain</noscript></p><div class="box share">Share</div><div id="comments">c</div></article>"""
+    assert htmldiff.blocks(page) == [("Related", 2), ("Effects", 2), ("Caption", 2), ("If x plain", 2)]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_differencing(spark, parts):
     page = lambda own: f"<body><div>Welcome to the site</div><div>{own}</div><div>Contact us</div></body>"
