@@ -1,16 +1,19 @@
-"""Helpers shared by the corpus operators: staged tables, Arrow limits, components."""
+"""Helpers shared by the corpus operators: staged tables, Arrow limits, key filters, components."""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reach
@@ -19,6 +22,9 @@ from ..session import reach
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
+#: Upper bound of a key filter: 8 MB to each executor.
+FILTER_BITS = 1 << 26
+
 _local_folder: list[str] = []
 
 
@@ -31,21 +37,73 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a local master gets a temporary
+    one, which goes when the process ends; a cluster, whose executors wouldn't see it, gets an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="tamis-"))
-    return _local_folder[0]
+        _local_folder.append(tempfile.mkdtemp(prefix="tamis-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
+    return "file://" + _local_folder[0]
+
 
+def staged(df: DataFrame, name: str, digest: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+    The result's n_rows and, on demand, its digest (a sum of row hashes) are counted by the writing tasks, each once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tamis-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    hashes = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")) if digest else F.lit(None)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("digest")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at, out.n_rows, out.digest = path, seen.get["n"], seen.get["digest"]
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no plan reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def key_filter(keys: DataFrame, columns: list[str], most_bits: int = FILTER_BITS) -> DataFrame:
+    """A Bloom filter of the rows of keys (a staged table): one row with an array of 64-bit words.
+
+    16 bits a key, but never more than most_bits, so what is broadcast is bounded whatever the number of keys; beyond
+    the bound the filter lets more rows through, and the join behind it does the work. Null keys are not in it.
+    """
+    spark = keys.sparkSession
+    bits = min(most_bits, 1 << max(10, (16 * keys.n_rows).bit_length()))
+    places = keys.select(*columns).dropna().select(F.explode(F.array(*_places([F.col(c) for c in columns], F.lit(bits)))).alias("p"))
+    words = places.select(F.shiftright("p", 6).alias("word"), _bit(F.col("p")).alias("bit"))
+    every = words.union(spark.range(bits >> 6).select("id", F.lit(0).cast("long")))
+    dense = every.groupBy("word").agg(F.bit_or("bit").alias("bit")).agg(F.sort_array(F.collect_list(F.struct("word", "bit"))).alias("_words"))
+    return dense.select(F.transform("_words", lambda x: x["bit"]).alias("_words"))
+
+
+def _places(columns: list[Column], bits: Column) -> list[Column]:
+    """Four places of a key among so many bits; sums of shifted hashes, so that none overflows."""
+    h = [F.xxhash64(F.lit(k), *columns) for k in range(2)]
+    return [F.pmod(F.shiftright(h[0], 3) + k * F.shiftright(h[1], 4), bits) for k in range(4)]
+
+
+def maybe_in(df: DataFrame, columns: list[str], filter_row: DataFrame, outside: bool = False) -> DataFrame:
+    """Rows of df whose columns, in the order of the keys', may be among the filter's keys; outside: the others, which
+    surely aren't. Each row is tested against the one broadcast row, in generated code; nothing is shuffled."""
+    words, held = F.col("_words"), F.lit(True)
+    for p in _places([df[f"`{c}`"] for c in columns], F.size(words).cast("long") * 64):
+        held = held & (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0)
+    return df.join(F.broadcast(filter_row), held, "left_anti" if outside else "left_semi")
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
 
 
 def release() -> None:
@@ -78,7 +136,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Alternates large-star and small-star contractions. Both are written as a minimum per node (partial
     aggregation first, so a node of very high degree is no hot spot) and a join back to the edges. The minima
     are staged, so that both sides of that join are plain shuffles, which adaptive execution splits when one
-    key dominates. No edge list is ever gathered on the driver.
+    key dominates. No edge list is ever gathered on the driver. The result reads one staged table (unstage it after use).
+    A round about halves the longest path, so 40 rounds settle any graph that fits a cluster; if not, it raises.
     Edges with a null end are ignored; self-loops only name their node.
     """
     links = (
@@ -86,7 +145,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    links = staged(links, "cc")
+    links = staged(links, "cc", digest=True)
     for _ in range(rounds):
         # Large star: every neighbour above a node is tied to the smallest one around that node.
         both = links.where("u <> v").select("u", "v").union(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -102,21 +161,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        new = staged(small, "cc")
-        done, links = _same(new, links), new
+        new = staged(small, "cc", digest=True)
+        done = (new.n_rows, new.digest) == (links.n_rows, links.digest)
+        unstage(links, least)
+        links = new
         if done:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     named = links.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return named.union(roots)
-
-
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    b = b.where("u <> v")
-    digest = lambda d: d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-    return tuple(digest(a)) == tuple(digest(b))
+    out = named.union(roots)
+    out._staged_at = links._staged_at
+    return out
 
 
 def crc_fold(column: str = "doc_id", folds: int = 4):

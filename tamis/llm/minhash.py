@@ -8,12 +8,16 @@
 3. Bands of the signature give bucket keys. A bucket ties its members to its smallest class only (a star:
    n - 1 edges, never all pairs). Connected components of the stars are candidate groups: any two classes
    that share a bucket are in the same group.
-4. Inside a group, similarities are counted exactly on full shingle sets. A group of more than one block of
-   bounded size first has all its members compared with one hub, in a single pass; those linked to it are one
-   component and are not compared with each other. Every pair of blocks that is left is a task of its own, so no
-   group has to fit one task. Of the links found, a task returns a spanning forest, not all pairs.
+4. Inside a group, similarities are counted exactly on full shingle sets. A group of more than one block (of
+   bounded shingles and members) first has all its members compared with one hub, in a single pass; those linked to it
+   are one component and are not compared with each other. Every pair of blocks that is left is a task of its own, so
+   no group has to fit one task. Of the links found, a task returns a spanning forest, not all pairs.
 5. Components of these links are the answer.
 
+Only texts of candidate classes move, one for each class: a key filter of bounded size drops the others where they are
+read. They are written once, with their group, and read from there by all that follows. Where the filter is full (above
+some 10 million candidates), more texts take part in that one shuffle; the rows stay the same.
+
 With 32 bands of 6 rows a pair of similarity 0.85 shares no bucket with probability 3e-7 (0.8: 6e-5).
 """
 
@@ -23,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, components, staged, tidy
+from .common import arrow_limits, components, key_filter, maybe_in, staged, tidy, unstage
 
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Shingles in one block of a candidate group; a task holds two blocks.
+#: Shingles and members in one block of a candidate group; a task holds two blocks.
 BLOCK_SHINGLES = 500_000
+BLOCK_ROWS = 256
 
 _TRIES = 4096
 _draw = np.random.default_rng(77)
@@ -249,20 +254,39 @@ def _spoke_rows(size: int, percent: int):
     return run
 
 
-def _spokes(sized: DataFrame, chosen: DataFrame, size: int, percent: int) -> DataFrame:
+def _spokes(member: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) of large groups' members to their hub: the member that shares most buckets with others."""
-    member = sized.select("root", "node", F.explode("bands").alias("key"))
-    held = staged(member.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n")), "buckets")
-    degree = member.join(held, ["root", "key"]).groupBy("root", "node").agg(F.sum("n").alias("degree"))
-    hub = degree.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
-    hub = hub.join(sized.select("root", "node", "first_id", "text_hash"), ["root", "node"]).join(chosen, ["first_id", "text_hash"])
-    hub = staged(hub.select("root", F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hubs")
-    rows = sized.select("root", "node", "first_id", "text_hash").join(chosen, ["first_id", "text_hash"]).select("root", "node", "text")
-    both = rows.join(hub, "root").select("root", "hub", "hub_text", "node", "text").sortWithinPartitions("root")
-    return both.mapInArrow(tidy(_spoke_rows(size, percent)), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    keyed = member.select("root", "node").join(classes.select("node", "bands"), "node").select("root", "node", F.explode("bands").alias("key"))
+    held = staged(keyed.groupBy("root", "key").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    degree = keyed.join(held, ["root", "key"]).groupBy("root", "node").agg(F.sum("n").alias("degree"))
+    best = degree.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("node"))
+    hub = staged(member.join(best, ["root", "node"]).select("root", F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hubs")
+    both = member.join(hub, "root").select("root", "hub", "hub_text", "node", "text").sortWithinPartitions("root")
+    links = staged(both.mapInArrow(tidy(_spoke_rows(size, percent)), "u long, v long"), "spokes")
+    unstage(held, hub)
+    return links
+
+
+def _candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """A staged table (root, node, n_shingles, text): one text of each class that shares a bucket with another class."""
+    # Stars: each bucket ties its members to its smallest one. Buckets of one class leave before the join.
+    member = classes.select("node", F.explode("bands").alias("key"))
+    centre = staged(member.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre"), "centres")
+    shared = maybe_in(member, ["key"], key_filter(centre, ["key"]))
+    stars = shared.join(centre, "key").where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    groups = components(stars)
+    chosen = staged(groups.join(classes.select("node", "n_shingles", "first_id", "text_hash"), "node"), "chosen")
+
+    texts = docs.select(F.col("doc_id").alias("first_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = maybe_in(texts, ["first_id", "text_hash"], key_filter(chosen, ["first_id", "text_hash"]))
+    # Rows that repeat doc_id and text are one text.
+    texts = texts.groupBy("first_id", "text_hash").agg(F.first("text").alias("text"))
+    found = staged(texts.join(chosen, ["first_id", "text_hash"]).select("root", "node", "n_shingles", "text"), "candidates")
+    unstage(centre, chosen, groups)
+    return found
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Group documents whose word-shingle sets have 100 * intersection >= percent * union, transitively.
 
     docs needs doc_id and text; other columns are ignored, whatever their names. Returns one row per input
@@ -271,34 +295,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
 
     A null or wordless text has an empty set and is linked with nothing. A row with a null doc_id is linked
     with nothing either: its component_id is null and it is kept. Rows that repeat a doc_id are answered one
-    by one, each by its own text. An empty table gives an empty result.
+    by one, each by its own text. A very long text is one member of its block, whole. An empty table gives an
+    empty result.
     """
     arrow_limits(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.mapInArrow(tidy(_digest_rows(size)), "doc_id long, text_hash long, n_shingles long, low long, high long, bands array<long>")
     rows = staged(rows, "signatures")
 
-    # One class per set; its number is a hash of the set's digest.
+    # One class per set; its number is a hash of the set's digest. Equal sets have equal bands.
     node = F.xxhash64("low", "high", "n_shingles").alias("node")
     live = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = live.groupBy(node).agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.min_by("bands", "doc_id").alias("bands"))
     classes = staged(classes, "classes")
-
-    # Stars: each bucket ties its members to its smallest one.
-    member = classes.select("node", F.explode("bands").alias("key"))
-    centre = member.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
-    stars = member.join(centre, "key").where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    groups = components(stars)
-
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text", F.xxhash64("text").alias("text_hash")).dropna(subset=["first_id"])
-    sized = groups.join(classes.select("node", "n_shingles", "first_id", "text_hash", "bands"), "node")
-    chosen = texts.join(sized.select("first_id", "text_hash").distinct(), ["first_id", "text_hash"], "left_semi").dropDuplicates(["first_id", "text_hash"])
+    cand = _candidates(docs, classes)
 
     # Groups of more than one block: what is linked to the group's hub needs no comparison among itself.
-    large = staged(sized.groupBy("root").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > block_shingles).select("root"), "large")
+    total = cand.groupBy("root").agg(F.sum("n_shingles").alias("n"), F.count(F.lit(1)).alias("members"))
+    large = staged(total.where((F.col("n") > block_shingles) | (F.col("members") > block_rows)).select("root"), "large")
     spokes = None
-    if not large.isEmpty():
-        spokes = staged(_spokes(sized.join(large, "root", "left_semi"), chosen, size, percent), "spokes")
+    sized = cand.select("root", "node", "n_shingles")
+    if large.n_rows:
+        spokes = _spokes(cand.join(large, "root", "left_semi"), classes, size, percent)
         core = spokes.select(F.col("u").alias("node")).union(spokes.select(F.col("v").alias("node"))).distinct().withColumn("core", F.lit(True))
         sized = sized.join(core, "node", "left").withColumn("core", F.coalesce("core", F.lit(False)))
     else:
@@ -306,19 +324,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
 
     # Tasks: one per group, or one per pair of blocks. Blocks 0 to open - 1 hold what isn't core and meet every
     # block, themselves included; the other blocks hold the core and meet only those.
-    share = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) / block_shingles).cast("int")
-    counts = sized.groupBy("root").agg(share(~F.col("core")).alias("open"), share(F.col("core")).alias("closed"))
-    dealt = sized.join(staged(counts, "blocks"), "root")
+    def share(which: Column) -> Column:
+        shingles, members = (F.coalesce(F.sum(F.when(which, x)), F.lit(0)) for x in (F.col("n_shingles"), F.lit(1)))
+        return F.greatest(F.ceil(shingles / block_shingles), F.ceil(members / block_rows)).cast("int")
+
+    counts = staged(sized.groupBy("root").agg(share(~F.col("core")).alias("open"), share(F.col("core")).alias("closed")).where("open > 0"), "blocks")
+    dealt = sized.join(counts, "root")
     own = F.when(F.col("core"), F.col("closed")).otherwise(F.col("open"))
     dealt = dealt.withColumn("block", (F.pmod(F.xxhash64("node", F.lit(11)), own) + F.when(F.col("core"), F.col("open")).otherwise(0)).cast("int"))
     meets = F.when(F.col("core"), F.col("open")).otherwise(F.col("open") + F.col("closed"))
-    dealt = dealt.where(meets > 0).select(
-        "root", "node", "first_id", "text_hash", "block", F.explode(F.sequence(F.lit(0), meets - 1)).alias("other")
-    ).select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("half"), "node", "first_id", "text_hash")
-    work = dealt.join(chosen, ["first_id", "text_hash"]).select("root", "x", "y", "half", "node", "text")
+    place = dealt.select("node", "block", meets.alias("meets"))
+    dealt = cand.join(place, "node").select("root", "node", "text", "block", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
+    work = dealt.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("half"), "node", "text")
     work = work.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     found = work.mapInArrow(tidy(_link_rows(size, percent)), "u long, v long")
     links = components(found if spokes is None else found.unionByName(spokes))
+    unstage(cand, large, counts, *([spokes] if spokes is not None else []))
 
     first = classes.select("node", "first_id")
     linked = links.join(first, "node")
@@ -326,6 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, block_shi
     named = linked.join(lowest, "root").select("node", "least_id")
     answer = first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("class_id"))
     answer = staged(answer, "answer")  # so that adaptive execution may split the join on a class of many copies
+    unstage(classes, links)
     out = live.select("doc_id", "text_hash", "n_shingles", node).join(answer, "node").select("doc_id", "text_hash", "n_shingles", F.col("class_id").alias("component_id"))
     alone = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -337,14 +359,17 @@ def one_per_group(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFram
     Rows with a null doc_id or an empty set stay. Rows that repeat both doc_id and text are one document, of
     which one row stays.
     """
-    marks = near_duplicates(docs, percent, size)
-    gone = marks.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    gone = staged(gone, "gone")
+    marks = staged(near_duplicates(docs, percent, size), "marks")
+    ids = ["_i", "_h"]
+    gone = staged(marks.where("NOT kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct(), "gone")
+    again = staged(marks.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).count().where("count > 1").select(*ids), "again")
+    unstage(marks)
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"))
-    kept = whole.join(gone, (F.col("_i") == F.col("_gone_id")) & (F.col("_h") == F.col("_gone_hash")), "left_anti")
-    again = staged(marks.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1"), "again")
-    if not again.isEmpty():
-        once = kept.join(again.select(F.col("doc_id").alias("_r"), F.col("text_hash").alias("_rh")), (F.col("_i") == F.col("_r")) & (F.col("_h") == F.col("_rh")), "left")
-        single = once.where("_r IS NULL").select("doc")
-        kept = single.unionByName(once.where("_r IS NOT NULL").groupBy("_i", "_h").agg(F.first("doc").alias("doc")).select("doc"))
+    # Rows that surely stay never move; only the few that a filter lets through are looked up.
+    marked = staged(gone.union(again), "marked")
+    filtered = key_filter(marked, ids)
+    stay, asked = maybe_in(whole, ids, filtered, outside=True), maybe_in(whole, ids, filtered)
+    kept = stay.select("doc").unionByName(asked.join(gone, ids, "left_anti").join(again, ids, "left_anti").select("doc"))
+    if again.n_rows:
+        kept = kept.unionByName(asked.join(again, ids).groupBy(*ids).agg(F.first("doc").alias("doc")).select("doc"))
     return kept.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

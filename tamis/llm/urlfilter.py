@@ -105,7 +105,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     url = F.col("url")
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), address(url).alias("node"))
     base = base.withColumn("own", own_rule(F.col("host"), F.col("path"), rules))
-    if edges.isEmpty():
+    if not edges.n_rows:
         return base.select("page_id", "host", "path", "own.rule", F.coalesce("own.verdict", F.lit("allow")).alias("verdict"))
     groups = staged(components(edges), "groups")
     # Every address of a group may carry a rule, whether or not its page is in the table.

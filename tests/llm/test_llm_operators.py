@@ -16,11 +16,11 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from tamis.llm import bytesvec as bv
-from tamis.llm import ftrl_quality, htmldiff, linededup, packing, quality_rules, secret_scan, toxicity
+from tamis.llm import common, ftrl_quality, htmldiff, linededup, packing, quality_rules, secret_scan, toxicity
 from tamis.llm.common import components
 from tamis.llm.decontam import contamination, drop_contaminated
 from tamis.llm.linear import HELD_OUT
-from tamis.llm.minhash import exact_links, near_duplicates, one_per_group, signature
+from tamis.llm.minhash import _Forest, band_keys, exact_links, near_duplicates, one_per_group, signature
 from tamis.llm.queries import tokenizer_path
 from tamis.llm.urlfilter import RULES, alias_edges, filter_urls
 
@@ -132,10 +132,25 @@ def mutated(seed, copies=40, words=80):
 def test_near_duplicates(spark, percent, block):
     rows = list(enumerate(ODD + ODD[3:6] + mutated(1) + mutated(2, 20, 7) + ["Same Text here now ok"] * 5 + ["same text HERE now OK"]))
     df = clash(docs(spark, [t for _, t in rows]).repartition(3))
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, percent, block_shingles=block).collect()}
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, percent, block_shingles=block, block_rows=256 if block > 1000 else 7).collect()}
     assert out == brute_groups(rows, percent)
 
 
+@pytest.mark.parametrize("percent, n, allowed", [(80, 9, 3), (80, 180, 2), (85, 37, 0), (85, 370, 0)])
+def test_pairs_share_a_bucket(percent, n, allowed):
+    """Pairs of the given similarity (n shingles each, small and large sets) that no bucket joins, of 3000 pairs."""
+    r = np.random.default_rng(percent + n)
+    common_n = -(-2 * n * percent // (100 + percent))  # the least intersection that links
+    missed = 0
+    for _ in range(3000):
+        h = np.unique(bv.mix(r.integers(0, 2**63, 2 * n - common_n + 8, dtype=np.uint64)))
+        r.shuffle(h)
+        a, b = np.sort(h[:n]), np.sort(h[n - common_n : 2 * n - common_n])
+        x, y = band_keys(np.stack([signature(a), signature(b)]))
+        missed += not (x == y).any()
+    assert missed <= allowed
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     df = docs(spark, ["a b c d e f"] * 4, [None, 3, 3, None])
@@ -326,6 +341,31 @@ def test_hilbert_neighbours():
 PAGES = "page_id long, url string, html string"
 
 
+def test_key_filters_lose_no_key(spark):
+    keys = common.staged(spark.range(0, 9000, 7).select("id", (F.col("id") * 3).cast("string").alias("s")), "keys")
+    rows = spark.range(9000).select(F.col("id").alias("a"), (F.col("id") * 3).cast("string").alias("b")).union(spark.createDataFrame([(None, None)], "a long, b string"))
+    for bits in (1 << 10, 1 << 26):
+        row = common.key_filter(keys, ["id", "s"], bits)
+        inside, outside = (common.maybe_in(rows, ["a", "b"], row, outside=o) for o in (False, True))
+        assert inside.where("a % 7 = 0").count() == keys.n_rows and inside.count() + outside.count() == 9001
+    assert inside.count() < keys.n_rows * 1.1
+    assert common.maybe_in(rows, ["a"], common.key_filter(common.staged(spark.range(0), "none"), ["id"])).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(8)
+    for nodes, edges in ((60, 40), (60, 90)):
+        pairs = [(r.randrange(nodes), r.randrange(nodes)) for _ in range(edges)]
+        forest = _Forest(nodes)
+        for a, b in pairs:
+            forest.join(a, b)
+        named = {x for a, b in pairs if a != b for x in (a, b)}
+        for form in (int, lambda x: f"n{x:03d}"):
+            df = spark.createDataFrame([(form(a), form(b)) for a, b in pairs], f"u {'long' if form is int else 'string'}, v {'long' if form is int else 'string'}")
+            got = {q.node: q.root for q in common.components(df).collect()}
+            assert got == {form(x): form(forest.find(x)) for x in named}
+
+
 def test_url_groups(spark):
     rows = [
         (1, "http://a.net/x", '<link rel="canonical" href="https://example.org/es/1">'), (2, "https://EXAMPLE.org/es/1#f", ""),
