@@ -35,12 +35,10 @@ def word_ngrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.1) -> Model:
     """(weights, bias, norm) by FTRL-proximal steps over the rows in a fixed shuffled order; the bias isn't penalised.
 
-    Without rows every score is 0.5.
+   
     """
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
-    if not len(y):
-        return z.astype(np.float32), 0.0, NORM
 
     def weights(zf: np.ndarray, nf: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zf) <= l1, 0.0, (np.sign(zf) * l1 - zf) / ((beta + np.sqrt(nf)) / alpha + l2))
@@ -62,7 +60,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, alpha: float =
     return weights(z, n).astype(np.float32), bias, NORM
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     return train_on_sample(docs, labels, "quality", word_ngrams, BITS, fit, rows)
 
 
@@ -72,11 +70,13 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: fl
     docs needs doc_id and text, labels doc_id and quality; other columns are ignored. The classifier is fitted on
     at most `rows` labelled documents whose crc32(doc_id) mod 4 isn't 2, and scores every whole text. A null
     or empty text gets the bias alone; null labels teach nothing; a null doc_id isn't held out. Rows that
-    repeat are scored alike.
+    repeat are scored alike; a very long text is scored whole. Where the sample doesn't have both labels, every score is
+    0.5. An empty table gives an empty result.
     """
     return score_documents(docs, train(docs, labels, rows), word_ngrams, BITS, cut)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
-    """The rows of docs, all columns as they are, with a score of at least cut."""
+    """The rows of docs, all columns as they are, with a score of at least cut; every row where the sample doesn't have both labels,
+    as nothing can be learnt from it."""
     return keep_scored(docs, train(docs, labels, rows), word_ngrams, BITS, lambda s: s >= cut)

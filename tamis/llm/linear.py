@@ -14,8 +14,9 @@ from .common import arrow_limits, crc_fold, tidy
 
 #: Rows of the fold that no classifier may learn from.
 HELD_OUT = 2
-#: Bound of the labelled sample that a classifier is fitted on.
+#: Bounds of the labelled sample that a classifier is fitted on: documents, and bytes of their features (4 each).
 SAMPLE_ROWS = 6000
+SAMPLE_BYTES = 256 << 20
 
 #: (weights of features, bias, norm)
 Model = tuple[np.ndarray, float, float]
@@ -36,17 +37,18 @@ def distinct_features(column: pa.Array, features: Features, bits: int) -> Iterat
             yield own[seen[own] == place]
 
 
-def train_on_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, fit: Callable, rows: int = SAMPLE_ROWS) -> Model:
-    """fit(features of texts, labels) on at most `rows` labelled documents outside the held-out fold, picked in the
-    order of a hash of doc_id. Only 0 and 1 are labels; a doc_id labelled twice counts as its larger label, and of
-    texts that share a doc_id one is taken. The sample is gathered and fitted by one task on an executor, so that only
-    the weights pass through the driver.
+def train_on_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, bits: int, fit: Callable, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """fit(features of texts, labels) on at most `rows` labelled documents outside the held-out fold, picked among
+    those of docs in the order of a hash of doc_id, as many as have most_bytes of features. Only 0 and 1 are labels; a
+    doc_id labelled twice counts as its larger label, and of texts that share a doc_id one is taken. The sample is
+    gathered and fitted by one task on an executor, so that only the weights pass through the driver. None if the sample
+    doesn't have both labels: there is nothing to learn.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     y = labels.select("doc_id", F.col(f"`{label}`").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").where(crc_fold() != HELD_OUT)
-    y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = [(r.doc_id, r.y) for r in y.collect()]  # at most `rows` rows
+    y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    picked = [(r.doc_id, r.y) for r in y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]  # at most `rows` rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,23 +56,24 @@ def train_on_sample(docs: DataFrame, labels: DataFrame, label: str, features: Fe
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "y", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[np.ndarray] = []
-        truth: list[int] = []
+        sample: list[tuple[int, int, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            truth += batch.column(0).to_pylist()
-            texts += [np.frombuffer(f, np.uint32) for f in batch.column(1).to_pylist()]
-        weights, bias, norm = fit(texts, np.array(truth, float))
+            for i, t, f in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                size += len(f)
+                if size <= most_bytes:
+                    sample.append((i, t, np.frombuffer(f, np.uint32)))
+        sample.sort(key=lambda row: row[0])
+        weights, bias, norm = fit([f for _, _, f in sample], np.array([t for _, t, _ in sample], float))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias], pa.float64()), pa.array([norm], pa.float64())], names=["weights", "bias", "norm"])
 
-    model = []
-    if picked:
-        ids = spark.createDataFrame(picked, "doc_id long, y int")
-        chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # at most `rows` ids are sent out
-        table = chosen.mapInArrow(tidy(extract), "doc_id long, y int, f binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("f").alias("f"))
-        model = table.repartition(1).sortWithinPartitions("doc_id").select("y", "f").mapInArrow(tidy(learn), "weights binary, bias double, norm double").collect()
-    if not model:
-        return fit([], np.zeros(0))
-    return np.frombuffer(bytes(model[0].weights), np.float32), model[0].bias, model[0].norm
+    if len({t for _, t in picked}) < 2:
+        return None
+    ids = spark.createDataFrame(picked, "doc_id long, y int")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # at most `rows` ids are sent out
+    table = chosen.mapInArrow(tidy(extract), "doc_id long, y int, f binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("f").alias("f"))
+    model = table.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(tidy(learn), "weights binary, bias double, norm double").first()
+    return np.frombuffer(bytes(model.weights), np.float32), model.bias, model.norm
 
 
 def _score_rows(model, features: Features, bits: int):
@@ -89,16 +92,18 @@ def score(f: np.ndarray, weights: np.ndarray, bias: float, norm: float) -> float
     return 1 / (1 + np.exp(-z)) if z >= 0 else np.exp(z) / (1 + np.exp(z))
 
 
-def score_documents(docs: DataFrame, model: Model, features: Features, bits: int, cut: float) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted (1 if score >= cut)."""
+def score_documents(docs: DataFrame, model: Model | None, features: Features, bits: int, cut: float) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted (1 if score >= cut). Without a model every score is 0.5."""
     arrow_limits(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits float32 weights
+    sent = docs.sparkSession.sparkContext.broadcast(model or (np.zeros(1 << bits, np.float32), 0.0, 0.0))  # 2**bits float32 weights
     scored = docs.select("doc_id", "text").mapInArrow(tidy(_score_rows(sent, features, bits)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(crc_fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def keep_scored(docs: DataFrame, model: Model, features: Features, bits: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """The rows of docs, all columns as they are, whose scores `keep` accepts."""
+def keep_scored(docs: DataFrame, model: Model | None, features: Features, bits: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns as they are, whose scores `keep` accepts; all of them without a model."""
+    if model is None:
+        return docs
     arrow_limits(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 

@@ -44,11 +44,9 @@ def char_ngrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.03, decay: float = 1e-4, smooth: float = 1.0) -> Model:
     """(weights of features, bias, norm): naive Bayes ratios times logistic weights fitted by AdaGrad steps.
 
-    rows is used up. Rows pass in a fixed shuffled order. Features of a single row keep weight 0. Without rows every score is 0.5.
+    rows is used up. Rows pass in a fixed shuffled order. Features of a single row keep weight 0.
     """
     size = 1 << BITS
-    if not len(y):
-        return np.zeros(size, np.float32), 0.0, 0.0
     p, q = np.full(size, smooth), np.full(size, smooth)
     for f, t in zip(rows, y):
         (p if t else q)[f] += 1
@@ -74,7 +72,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.
     return (w * r).astype(np.float32), bias, 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     return train_on_sample(docs, labels, "toxic", char_ngrams, BITS, fit, rows)
 
 
@@ -84,11 +82,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: f
     docs needs doc_id and text, labels doc_id and toxic; other columns are ignored. The classifier is fitted on
     at most `rows` labelled documents whose crc32(doc_id) mod 4 isn't 2, and scores every whole text. A null
     or empty text gets the bias alone; null labels teach nothing; a null doc_id isn't held out. Rows that
-    repeat are scored alike.
+    repeat are scored alike; a very long text is scored whole. Where the sample doesn't have both labels, every score is
+    0.5. An empty table gives an empty result.
     """
     return score_documents(docs, train(docs, labels, rows), char_ngrams, BITS, cut)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, cut: float = CUT) -> DataFrame:
-    """The rows of docs, all columns as they are, with a score below cut."""
+    """The rows of docs, all columns as they are, with a score below cut; every row where the sample doesn't have both labels,
+    as nothing can be learnt from it."""
     return keep_scored(docs, train(docs, labels, rows), char_ngrams, BITS, lambda s: s < cut)

@@ -410,6 +410,25 @@ def test_urls_of_nothing(spark):
     assert alias_edges(spark.createDataFrame([(1, "http://a.b/c", "<link rel=canonical href='/c'>")], PAGES)).count() == 0
 
 
+def test_common_short_items_stay_small():
+    """Many equal one-word items, and a long text of that word: one window, found once a place."""
+    import tracemalloc
+
+    from tamis.llm.decontam import Windows, _word_hashes
+
+    yes = np.frombuffer(b"yes", np.uint8)
+    word, _ = _word_hashes(yes, np.array([0, 3]))
+    w = Windows([(k, word) for k in range(20_000)], 10)
+    w.order(np.array([5000]))
+    raw = np.frombuffer(b"yes no " * 5000, np.uint8)
+    h, owner = _word_hashes(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    hit, pairs = w.hits(h, owner, 1)
+    assert hit.sum() == 5000 and pairs.tolist() == [[0, 0]] and w.ids(pairs[:, 1]) == list(range(20_000))
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
 # ---- classifiers ---------------------------------------------------------------------------------------------------------
 
 
@@ -441,7 +460,28 @@ def test_classifiers_on_odd_input(spark):
             out = f(df, y).collect()
             assert len(out) == len(ODD) and all(0 <= r.score <= 1 and r.held_out is not None for r in out)
         assert f(docs(spark, []), some).count() == 0
-    assert toxicity.drop_toxic(clash(df), none, cut=0.6).columns == clash(df).columns
+    for y in (none, some.where("toxic = 1")):
+        kept = toxicity.drop_toxic(clash(df), y)  # nothing to learn from: nothing goes
+        assert kept.columns == clash(df).columns and kept.count() == len(ODD)
+        assert ftrl_quality.keep_good(df, y).count() == len(ODD)
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    df = docs(spark, ["vile words"] * 20 + ["kind words"] * 20)
+    labels = spark.createDataFrame([(i, 0, int(i < 20)) for i in range(40)] + [(i, 0, 1) for i in range(1000, 3000)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(df, labels, rows=40).collect()
+    assert all((r.score > 0.5) == (r.doc_id < 20) for r in out)
+
+
+def test_a_sample_bounded_in_bytes(spark):
+    from tamis.llm.linear import train_on_sample
+
+    df = docs(spark, ["a b c d e", "b c d e f"] * 50)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    size = lambda rows, y: (np.array([len(y)], np.float32), 0.0, 0.0)
+    learn = lambda most: int(train_on_sample(df, labels, "quality", ftrl_quality.word_ngrams, ftrl_quality.BITS, size, most_bytes=most)[0][0])
+    every = learn(1 << 20)
+    assert 50 < every < 100 and 0 < learn(400) < every
 
 
 # ---- repeated lines --------------------------------------------------------------------------------------------------------
