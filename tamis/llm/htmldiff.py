@@ -1,14 +1,18 @@
-"""Main text of web pages: page structure first, then nearest-URL page differencing for what it leaves open.
-
-1. A page is read into blocks of text. Blocks in navigation, footers, sidebars, notices, adverts, forms or
-   reader comments are dropped; blocks inside <article> (or, without one, <main>) are the main text. A page
-   with neither has loose blocks, of which some may be furniture that its tags don't tell.
-2. Pages are sorted by (host, path). Each page with loose blocks is paired with the neighbour in that order, on
-   its own host, whose path has the longer common beginning.
-3. The pair's lines are aligned by a longest common subsequence; loose lines that are shared are deleted.
+"""Main text of web pages by nearest-URL page differencing, guarded by page structure.
+
+1. A page is read into lines, the texts of its block elements. Lines in navigation, footers, sidebars, notices, adverts,
+   forms or reader comments are dropped; of the others those inside <article> (or, without one, <main>) count, or all of
+   them where a page has neither.
+2. Pages are sorted by (host, path). Each page is paired with the neighbour in that order, on its own host, whose
+   path has the longer common beginning.
+3. The pair's lines are aligned by a longest common subsequence, and shared lines are deleted.
+4. Guards: inside <article> or <main> only lines that may be labels of a template are deleted, which are short, no
+   sentences and no headings, list items, table cells, captions or code; articles that quote the same passage keep it.
+   And a page whose neighbour is a copy of it (COPY of the characters shared) keeps all its lines.
 
 The order is made by a range partitioning of small key rows, so a large host spreads over partitions; only the
-first and last key of each partition pass through the driver, to pair across partition ends.
+first and last key of each partition pass through the driver, to pair across partition ends. Line hashes, not texts,
+are joined; texts stay where they were parsed, but for pages that lose lines.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged, tidy
+from .common import arrow_limits, key_filter, maybe_in, staged, tidy, unstage
 from .urlfilter import host_of, path_of
 
 # HTML element names by what they mean for text.
@@ -39,6 +43,16 @@ FURNITURE = set("ad ads advert advertisement advertising banner breadcrumb bread
 #: Whole class tokens, and ids but of headings and sections, that mark furniture inside an article.
 ARTICLE_FURNITURE = set("ad ads advert advertisement advertising comment comments disqus promo share sharing social sponsor sponsored".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 header section".split())
+#: Block elements whose lines inside an article may be labels of a template.
+PLAIN = set("address article div main p section".split())
+SENTENCE_ENDS = tuple(".!?\u2026:;,\u3002\uff01\uff1f\u0964")
+
+#: A line of at least so many words is no label.
+LABEL_WORDS = 8
+#: A pair that shares so much of a page's characters are copies.
+COPY = 0.9
+#: Bits of a table that the alignment may hold at once; longer pages are halved first.
+TABLE_BITS = 1 << 26
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -57,7 +71,12 @@ def _is_article_furniture(name: str, attributes: str) -> bool:
 
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, place) of each block outside furniture, in page order; place: 2 in an article, 1 in main, 0 loose."""
-    out: list[tuple[str, int]] = []
+    return [(text, place) for text, place, _ in lines_of(page)]
+
+
+def lines_of(page: str) -> list[tuple[str, int, str]]:
+    """The blocks with the name of the innermost block element that holds each."""
+    out: list[tuple[str, int, str]] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, whether its text is dropped, place
     parts: list[str] = []
     at = 0
@@ -66,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, stack[-1][2] if stack else 0))
+                out.append((text, stack[-1][2] if stack else 0, next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "")))
             parts.clear()
 
     while True:
@@ -104,35 +123,57 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list, b: list) -> list[int]:
-    """Places in a of a longest common subsequence of a and b (bit-parallel rows, then a walk back)."""
-    both = set(a) & set(b)
-    pa_, pb = [k for k, x in enumerate(a) if x in both], [k for k, x in enumerate(b) if x in both]
-    a, b = [a[k] for k in pa_], [b[k] for k in pb]
-    m = len(b)
-    full = (1 << m) - 1
+def _is_label(text: str, element: str) -> bool:
+    return element in PLAIN and len(text.split()) < LABEL_WORDS and not text.rstrip("\"')]\u201d\u2019\u00bb").endswith(SENTENCE_ENDS)
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each line of a, a row of bits over b: bit k is 0 where the common length of a so far and b[:k + 1] is one
+    more than with b[:k]."""
+    full = (1 << len(b)) - 1
     where: dict = {}
     for k, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << k
-    v, rows = full, []
+    v = full
     for x in a:
-        u = v & where[x]
+        u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    # A zero bit k of row i: the common length of a[:i+1] and b[:k+1] is one more than with b[:k].
-    out, i, j = [], len(a) - 1, m - 1
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Common lengths of a and b[:k] for k = 0 to len(b)."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common_lines(a: list, b: list, table_bits: int = TABLE_BITS) -> list[int]:
+    """Places in a of a longest common subsequence of a and b: rows of bits and a walk back through them; tables of more
+    than table_bits are halved first, where both halves' common lengths add up to the most."""
+    both = set(a) & set(b)
+    at, b = [k for k, x in enumerate(a) if x in both], [x for x in b if x in both]
+    a = [a[k] for k in at]
+    if len(a) * len(b) > table_bits and len(a) > 1:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return [at[k] for k in common_lines(a[:half], b[:cut], table_bits)] + [at[half + k] for k in common_lines(a[half:], b[cut:], table_bits)]
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a) - 1, len(b) - 1
     while i >= 0 and j >= 0:
         if rows[i] >> j & 1:
             j -= 1
         elif i > 0 and not rows[i - 1] >> j & 1:
             i -= 1
         else:
-            out.append(pa_[i])
+            out.append(at[i])
             i, j = i - 1, j - 1
     return out[::-1]
 
 
-_PARSED = "uid long, page_id long, url string, host string, path string, text string, loose array<string>, lines array<long>"
+_PARSED = "uid long, page_id long, url string, host string, path string, blocks array<string>, lines array<long>, sizes array<int>, open array<boolean>"
 
 
 def _hashes(texts: list[str]) -> list[int]:
@@ -142,17 +183,17 @@ def _hashes(texts: list[str]) -> list[int]:
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, loose, lines = [], [], []
-        for page in batch.column(5).to_pylist():
-            found = blocks(page or "")
-            top = max((p for _, p in found), default=0)
-            texts.append("\n\n".join(t for t, p in found if p == top) if top else "")
-            loose.append([] if top else [t for t, _ in found])
-            lines.append(_hashes([t for t, _ in found]))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in range(5)), pa.array(texts, pa.string()), pa.array(loose, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int64()))],
-            names=[c.split()[0] for c in _PARSED.split(", ")],
-        )
+        texts, lines, free = [], [], []
+        for page in batch.column(5):
+            found = lines_of(page.as_py() or "")
+            top = max((p for _, p, _ in found), default=0)
+            found = [line for line in found if line[1] == top]
+            texts.append([t for t, _, _ in found])
+            lines.append(_hashes(texts[-1]))
+            free.append([not top or _is_label(t, element) for t, _, element in found])
+        sizes = [[len(t) for t in own] for own in texts]
+        made = [pa.array(texts, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(free, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *made], names=[c.split()[0] for c in _PARSED.split(", ")])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -218,37 +259,43 @@ def _partners(keys: DataFrame) -> DataFrame:
     return near.select("uid", "path", "before", "before_path", "after", "after_path").mapInArrow(tidy(choose), "uid long, partner long")
 
 
-def _difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uid, lines, sizes, open, other lines): the numbers of the lines that go, of pages that lose any."""
     for batch in batches:
-        texts = []
-        for text, loose, lines, other in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-            if loose and other:
-                shared = set(common_lines(lines, other))
-                text = "\n\n".join(t for k, t in enumerate(loose) if k not in shared)
-            elif loose:
-                text = "\n\n".join(loose)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        uids, gone = [], []
+        for uid, lines, sizes, free, other in zip(*batch.columns):
+            size = sizes.as_py()
+            shared = common_lines(lines.as_py(), other.as_py())
+            may = free.as_py()
+            if sum(size[k] for k in shared) < COPY * sum(size) and (own := [k for k in shared if may[k]]):
+                uids.append(uid.as_py())
+                gone.append(own)
+        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["uid", "gone"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text (blocks of the main text joined by blank lines; empty if none), n_chars.
 
-    pages needs page_id, url and html; other columns are ignored. A null html is empty. Pages with a null URL, or
-    one without a host, are not paired with others. Equal rows are not paired with each other. A page that is
-    alone on its host keeps its loose blocks. An empty table gives an empty result.
+    pages needs page_id, url and html; other columns are ignored. A null html is empty; a very long one is parsed
+    whole. Pages with a null URL, or one without a host, are not paired with others. Equal rows are one page: they are
+    not paired with each other and are answered alike. A page that is alone on its host, or whose neighbour is a copy
+    of it, keeps its lines. An empty table gives an empty result.
     """
     arrow_limits(pages.sparkSession)
     url = F.col("url")
     rows = pages.select(F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
     parsed = staged(rows.mapInArrow(tidy(_parse_rows), _PARSED), "parsed")
-    open_pages = parsed.where("size(loose) > 0")
-    if open_pages.isEmpty():
-        done = parsed.select("page_id", "url", "text")
+    partner = _partners(parsed.where("host <> ''").select("host", "path", "page_id", "uid")).where("partner IS NOT NULL")
+    mine = parsed.where(F.exists("open", lambda x: x)).select("uid", "lines", "sizes", "open").dropDuplicates(["uid"])
+    other = parsed.select(F.col("uid").alias("partner"), F.col("lines").alias("other")).dropDuplicates(["partner"])
+    pairs = mine.join(partner, "uid").join(other, "partner").select("uid", "lines", "sizes", "open", "other")
+    gone = staged(pairs.mapInArrow(tidy(_shared_rows), "uid long, gone array<int>"), "gone")
+    if gone.n_rows:
+        found = key_filter(gone, ["uid"])
+        cut = maybe_in(parsed, ["uid"], found).join(gone, "uid", "left")
+        left = F.filter("blocks", lambda x, k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k))
+        done = maybe_in(parsed, ["uid"], found, outside=True).select("page_id", "url", "blocks").unionByName(cut.select("page_id", "url", left.alias("blocks")))
     else:
-        partner = _partners(parsed.where("host <> ''").select("host", "path", "page_id", "uid"))
-        other = parsed.select(F.col("uid").alias("partner"), F.col("lines").alias("other")).dropDuplicates(["partner"])
-        joined = open_pages.join(partner, "uid", "left").join(other, "partner", "left")
-        closed = parsed.where("size(loose) = 0").select("page_id", "url", "text")
-        done = closed.unionByName(joined.select("page_id", "url", "text", "loose", "lines", "other").mapInArrow(tidy(_difference_rows), "page_id long, url string, text string"))
-    return done.withColumn("n_chars", F.length("text").cast("long"))
+        unstage(gone)
+        done = parsed
+    return done.select("page_id", "url", F.array_join("blocks", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -578,9 +578,49 @@ def test_common_lines():
     r = random.Random(5)
     for _ in range(400):
         a, b = ([r.randrange(6) for _ in range(r.randrange(12))] for _ in range(2))
-        places = htmldiff.common_lines(a, b)
-        rest = iter(b)
-        assert len(places) == length(a, b) and all(a[k] in rest for k in places)
+        for bits in (1, 20, 1 << 26):
+            places = htmldiff.common_lines(a, b, bits)
+            rest = iter(b)
+            assert len(places) == length(a, b) and all(a[k] in rest for k in places) and places == sorted(set(places))
+
+
+def test_labels_inside_articles_go_by_differencing(spark):
+    quote = "A passage that both of the articles quote, word for word and whole."
+    page = lambda own: f"<article><h2>Method</h2><p>{own}</p><p>Share this story</p><ul><li>salt</li></ul><p>{quote}</p><div>Read more</div></article>"
+    rows = [(1, "http://h.com/a", page("The first text, long enough to differ from the second one.")), (2, "http://h.com/b", page("Another text altogether, which the first one doesn't have."))]
+    rows += [(k, f"http://copy.com/{k}", page("The same text on two pages.")) for k in (3, 4)] + [(5, "http://alone.com/", page("Alone."))]
+    out = {r.page_id: r.text.split("\n\n") for r in htmldiff.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in (1, 2):
+        assert [t for t in out[k] if t in ("Share this story", "Read more")] == [] and {"Method", "salt", quote} <= set(out[k]) and len(out[k]) == 4
+    for k in (3, 4, 5):
+        assert len(out[k]) == 6
+
+
+def test_differencing_by_brute_force(spark):
+    r = random.Random(11)
+    template = [f"Label {k}" for k in range(12)]
+    rows, held = [], {}
+    for i in range(120):
+        host, path = f"h{r.randrange(4)}.net", f"/{r.choice('ab')}/{r.randrange(1000):04d}"
+        top = r.choice(("article", "main", "div"))
+        own = [(template[k], False) for k in sorted(r.sample(range(12), r.randrange(6)))]
+        for k in range(r.randrange(1, 4)):
+            own.insert(r.randrange(len(own) + 1), (f"Text {i} {k} of its own, which is a sentence and quite long.", True))
+        rows.append((i, f"http://{host}{path}", f"<body><nav>menu</nav><{top}>" + "".join(f"<p>{t}</p>" for t, _ in own) + f"</{top}></body>"))
+        held[i] = (host, path, [t for t, _ in own])
+    out = {q.page_id: q.text for q in htmldiff.main_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    order = sorted(held, key=lambda i: (held[i][0], held[i][1], i))
+    prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    cut = 0
+    for n, i in enumerate(order):
+        host, path, own = held[i]
+        before, after = (order[m] if 0 <= m < len(order) and held[order[m]][0] == host else None for m in (n - 1, n + 1))
+        near = after if after is not None and (before is None or prefix(path, held[after][1]) > prefix(path, held[before][1])) else before
+        shared = set(own) & set(held[near][2]) if near is not None else set()
+        copy = sum(len(t) for t in own if t in shared) >= 0.9 * sum(map(len, own))
+        cut += bool(shared and not copy)
+        assert out[i] == "\n\n".join(t for t in own if copy or t not in shared)
+    assert cut > 40
 
 
 # ---- secrets -----------------------------------------------------------------------------------------------------------------
