@@ -6,6 +6,7 @@ Budgets are per cluster, so these tables have one row per cluster. Each function
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,54 +29,46 @@ def largest_remainder(targets: list[float], caps: list[int], total: int, guard:
     Without it units go on to free bins until none is left or all bins are full. If the floors alone reach the
     total, they stand.
     """
-    caps = [int(c) for c in caps]
-    base = [min(int(t // 1), c) for t, c in zip(targets, caps)]
-    left = int(total) - sum(base)
+    target, cap = np.array(targets, float), np.array(caps, np.int64)
+    base = np.minimum(np.floor(target).astype(np.int64), cap)
+    left = int(total) - int(base.sum())
     if left <= 0:
-        return base
-    bins = range(len(base))
-    order = sorted(bins, key=lambda k: (-(targets[k] - int(targets[k] // 1)), k))
-    looks, most = 0, 10 * len(base) + left + 10
-    while left > 0 and any(base[k] < caps[k] for k in bins):
-        for k in order:
-            if left == 0 or (guard and looks > most):
-                break
-            looks += 1
-            if base[k] < caps[k]:
-                base[k] += 1
-                left -= 1
-        if guard and looks > most:
-            break
-        order = sorted(bins, key=lambda k: (-(caps[k] - base[k]), k))
-    return base
+        return base.tolist()
+    order = np.argsort(-(target - np.floor(target)), kind="stable")
+    looks = 10 * len(base) + left + 11 if guard else None
+    while left > 0 and len(order) and (looks is None or looks > 0) and (base < cap).any():
+        seen = order if looks is None else order[:looks]
+        free = seen[base[seen] < cap[seen]]
+        # As many whole passes as every free bin can take part in, or the beginning of one.
+        passes = 1 if looks is not None or left < len(free) else min(left // len(free), int((cap - base)[free].min()))
+        given = free[:left] if passes == 1 else free
+        base[given] += passes
+        left -= passes * len(given)
+        looks = None if looks is None else looks - len(order)
+        order = np.argsort(base - cap, kind="stable")
+    return base.tolist()
 
 
 def water_fill(weights: list[float], caps: list[int], total: int) -> list[int]:
-    """Exactly total units: rounds share what is left by the weights of bins that aren't full, rounded down, and the
-    last units go by the largest remainders. Negative input or too small caps raise ValueError."""
-    caps = [int(c) for c in caps]
-    if total < 0 or any(c < 0 for c in caps) or any(w < 0 for w in weights):
+    """Exactly total units, in rounds: what is left is shared by the weights of the bins that aren't full (by their
+    free room, where these weights are all zero), rounded down and capped; then each of these bins that still has
+    room gets one more, the largest remainders first, as long as units last. Negative input or too small caps raise
+    ValueError."""
+    w, cap = np.array(weights, float), np.array(caps, np.int64)
+    if total < 0 or (cap < 0).any() or (w < 0).any():
         raise ValueError("weights, caps and total must not be negative")
-    if total > sum(caps):
-        raise ValueError(f"total {total} is more than the caps hold ({sum(caps)})")
-    out = [0] * len(caps)
-    left = int(total)
-    while left:
-        live = [k for k in range(len(caps)) if out[k] < caps[k]]
-        if not any(weights[k] > 0 for k in live):
-            weights = [1.0 if k in live else 0.0 for k in range(len(caps))]
-        mass = sum(weights[k] for k in live)
-        want = {k: _whole_safe(left * weights[k] / mass) for k in live}
-        give = {k: min(int(want[k] // 1), caps[k] - out[k]) for k in live}
-        if not any(give.values()):
-            for k in sorted(live, key=lambda k: (-(want[k] - want[k] // 1), k))[:left]:
-                out[k] += 1
-                left -= 1
-            continue
-        for k, g in give.items():
-            out[k] += g
-            left -= g
-    return out
+    if total > cap.sum():
+        raise ValueError(f"total {total} is more than the caps hold ({cap.sum()})")
+    out = np.zeros(len(cap), np.int64)
+    while (left := int(total) - int(out.sum())) > 0:
+        live = np.flatnonzero(out < cap)
+        part = w[live] if w[live].sum() > 0 else (cap - out)[live].astype(float)
+        want = np.round(left * part / part.sum(), 9)
+        whole = np.floor(want)
+        out[live] += np.minimum(whole.astype(np.int64), (cap - out)[live])
+        by_rest = live[np.argsort(whole - want, kind="stable")]
+        out[by_rest[out[by_rest] < cap[by_rest]][: int(total) - int(out.sum())]] += 1
+    return out.tolist()
 
 
 def allocation_scores(n: Column, abar: Column, u: Column, alpha: float = 0.5, beta: float = 1.0, eta: float = 1.0) -> Column:

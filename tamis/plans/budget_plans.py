@@ -35,11 +35,12 @@ def fill_sql(tag: str, weights: str, total: str) -> str:
     return f"""{tag}_p(grp, bin, w, cap, base, tot, pass) AS (
   SELECT grp, bin, CAST(w AS DOUBLE), cap, CAST(0 AS BIGINT), CAST({total} AS BIGINT), 0 FROM {weights}
   UNION ALL
-  SELECT grp, bin, w, cap, base + CASE WHEN gives > 0 THEN give WHEN base < cap AND place <= tot - taken THEN 1 ELSE 0 END, tot, pass + 1 FROM (
-    SELECT *, sum(give) OVER (PARTITION BY grp) AS gives, row_number() OVER (PARTITION BY grp ORDER BY base < cap DESC, want - floor(want) DESC, bin) AS place FROM (
-      SELECT *, CASE WHEN base < cap THEN least(CAST(floor(want) AS BIGINT), cap - base) ELSE 0 END AS give FROM (
-        SELECT *, round((tot - taken) * w / mass, 9) AS want FROM (
-          SELECT *, sum(base) OVER (PARTITION BY grp) AS taken, sum(CASE WHEN base < cap THEN w END) OVER (PARTITION BY grp) AS mass FROM {tag}_p)))) s
+  SELECT grp, bin, w, cap, base + give + CASE WHEN base + give < cap AND place <= tot - taken - gives THEN 1 ELSE 0 END, tot, pass + 1 FROM (
+    SELECT *, sum(give) OVER (PARTITION BY grp) AS gives, row_number() OVER (PARTITION BY grp ORDER BY base + give < cap DESC, want - floor(want) DESC, bin) AS place FROM (
+      SELECT *, least(CAST(floor(want) AS BIGINT), cap - base) AS give FROM (
+        SELECT *, round((tot - taken) * part / sum(part) OVER (PARTITION BY grp), 9) AS want FROM (
+          SELECT *, CASE WHEN base >= cap THEN 0 WHEN mass > 0 THEN w ELSE CAST(cap - base AS DOUBLE) END AS part FROM (
+            SELECT *, sum(base) OVER (PARTITION BY grp) AS taken, sum(CASE WHEN base < cap THEN w END) OVER (PARTITION BY grp) AS mass FROM {tag}_p))))) s
   WHERE taken < tot),
 {tag} AS MATERIALIZED (SELECT grp, bin, max_by(base, pass) AS budget FROM {tag}_p GROUP BY grp, bin)"""
 
