@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reach
+from ..session import reach, shared_folder
 
 #: Upper bound for one Arrow batch on its way to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -25,8 +21,6 @@ BATCH_ROWS = 2000
 #: Upper bound of a key filter: 8 MB to each executor.
 FILTER_BITS = 1 << 26
 
-_local_folder: list[str] = []
-
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts don't pile up in a worker, and let workers
@@ -36,20 +30,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a local master gets a temporary
-    one, which goes when the process ends; a cluster, whose executors wouldn't see it, gets an error."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="tamis-"))
-        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
-    return "file://" + _local_folder[0]
-
-
 def staged(df: DataFrame, name: str, digest: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
