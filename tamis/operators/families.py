@@ -43,12 +43,14 @@ def judge(df: DataFrame, text: str, family: str, family_order: str, pos: str, ar
     q = F.col("_q")  # a column of its own: what follows looks at it several times
     df = df.withColumn("_q", normal(F.col(text)))
     early = F.when(F.col(text).isNull(), "malformed").when(words(q) < least_words, "short").when(q.rlike(artifacts), "artifact")
-    rows = df.withColumn("_early", early).withColumn("_key", F.when(early.isNull(), key(q)))
-    first = Window.partitionBy("_key", *([] if across else [family])).orderBy(family_order, pos)
-    ranked = rows.withColumn("_n", F.row_number().over(first)).withColumn("_f", F.first(family).over(first))
+    rows = df.withColumn("reason", early)
+    # Only rows that pass meet in windows, by a hash of their key; the key itself orders keys of equal hashes.
+    passed = rows.where("reason IS NULL").withColumn("_key", key(q))
+    first = Window.partitionBy(F.xxhash64("_key"), "_key", *([] if across else [family])).orderBy(family_order, pos)
+    ranked = passed.withColumn("_n", F.row_number().over(first)).withColumn("_f", F.first(family).over(first))
     # Within a later family, its own first text meets the earlier family's, and so do the others: all are cross.
-    reason = F.coalesce(F.col("_early"), F.when(F.col("_n") == 1, "kept").when(F.col("_f") == F.col(family), "within").otherwise("cross"))
-    return ranked.withColumn("reason", reason).drop("_q", "_early", "_key", "_n", "_f")
+    judged = ranked.withColumn("reason", F.when(F.col("_n") == 1, "kept").when(F.col("_f") == F.col(family), "within").otherwise("cross"))
+    return judged.drop("_q", "_key", "_n", "_f").unionByName(rows.where("reason IS NOT NULL").drop("_q"))
 
 
 def trim(df: DataFrame, family: str, family_order: str, pos: str, key_columns: list[str], total: int, protected: list | None = None) -> DataFrame:
@@ -74,8 +76,9 @@ def cap(df: DataFrame, family: str, pos: str, most: int) -> DataFrame:
 
 def top_phrases(df: DataFrame, text: str, n: int) -> DataFrame:
     """(phrase, n): the most frequent phrases between commas, semicolons, slashes and bars; ties by phrase."""
-    parts = df.select(F.explode(F.split(text, r"[,;/|]+")).alias("p")).select(phrase(F.col("p")).alias("phrase")).where("phrase IS NOT NULL")
-    return parts.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phrase").limit(n)
+    raw = df.select(F.explode(F.split(text, r"[,;/|]+")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    parts = raw.select(phrase(F.col("p")).alias("phrase"), "n").where("phrase IS NOT NULL")  # each distinct part is cleaned once
+    return parts.groupBy("phrase").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "phrase").limit(n)
 
 
 def expand(attributes: DataFrame, attribute: str, templates: tuple[str, ...] = TEMPLATES) -> DataFrame:

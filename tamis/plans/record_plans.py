@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import records as E
 from ..operators.stats import wilson
-from ..sources.files import read_json_mixed, read_jsonl, resolve_paths, scratch, texts_of
+from ..operators.sampling import exact_sample
+from ..sources.files import WRAPPERS, read_json_mixed, read_jsonl, read_wrapped, resolve_paths, scratch, texts_of, write_json_arrays
 from ..sources.pairs import PAIRS_SQL, pairs, table
 from .base import UNIFORM, Registry
 
@@ -171,10 +172,28 @@ def src_json_mixed(spark: SparkSession, d: str) -> DataFrame:
     return read_json_mixed(spark, path, "struct<conv_id:long,turn:long,text:string>").select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
+@R.add("SELECT conv_id, turn, md5(text) AS digest FROM conversations")
+def src_json_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as files of one indented array each, next to one of lines, and read back."""
+    path = scratch(spark, "arrays")
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    write_json_arrays(c.where("conv_id % 3 > 0").repartition(3), f"{path}/arrays")
+    c.where("conv_id % 3 = 0").select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/lines")
+    return read_json_mixed(spark, f"{path}/*/part-*", "struct<conv_id:long,turn:long,text:string>").select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
+@R.add("SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('annotations:' || doc_id), doc_id LIMIT 150")
+def src_json_wrapped_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of exact size of annotations that an object's data field holds."""
+    path = scratch(spark, "wrapped")
+    write_json_arrays(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), path, "data")
+    return exact_sample(read_wrapped(spark, path, "struct<doc_id:long,lang:string,n_chars:long>"), "doc_id", 150, "annotations")
+
+
 @R.add("""WITH t AS (SELECT conv_id, turn, trim(text, concat(' ', chr(10), chr(9), chr(13))) AS x FROM conversations), f AS (SELECT conv_id, x, min(turn) AS turn FROM t WHERE x <> '' GROUP BY conv_id, x)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS nth, md5(x) AS digest FROM f""")
 def txt_extract_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of JSON arrays whose items are strings or objects of three kinds."""
+    """Texts of JSON arrays, some of them wrapped in an object, whose items are strings or objects of three kinds."""
     from pyspark.sql import Window
 
     c = table(spark, d, "conversations")
@@ -183,6 +202,8 @@ def txt_extract_dedup(spark: SparkSession, d: str) -> DataFrame:
     item = F.when(F.col("role") == "system", quoted("caption")).when(F.col("role") == "user", quoted("query")).otherwise(plain)
     rows = c.select("conv_id", F.struct("turn", item.alias("item")).alias("i")).groupBy("conv_id").agg(F.sort_array(F.collect_list("i")).alias("i"))
     json = rows.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("i", lambda x: x["item"]), ","), F.lit("]")).alias("json"))
+    wrapped = F.concat(F.lit('{"n": 1, "'), F.element_at(F.array(*(F.lit(w) for w in WRAPPERS)), (F.col("conv_id") % 4 + 1).cast("int")), F.lit('": '), F.col("json"), F.lit("}"))
+    json = json.withColumn("json", F.when(F.col("conv_id") % 2 == 0, wrapped).otherwise(F.col("json")))
     out = texts_of(json, "json", ["conv_id"])
     w = Window.partitionBy("conv_id").orderBy("pos")
     return out.select("conv_id", (F.row_number().over(w) - 1).alias("nth"), F.md5("text").alias("digest"))

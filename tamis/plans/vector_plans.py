@@ -162,16 +162,14 @@ def join_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "pair_id")
 
 
-@R.add("""WITH l AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS local FROM embeddings),
-pick AS (SELECT label, CAST(local AS BIGINT) AS local FROM l WHERE md5('gather:' || label || ':' || local) < '4') SELECT label, local, vec_id AS pair_id FROM pick JOIN l USING (label, local)""")
+@R.add("""WITH l AS (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS local FROM embeddings) SELECT label, local, vec_id AS pair_id FROM l""")
 def gather_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Local positions inside a cluster are mapped back to pool ids by a join on (cluster, position)."""
+    """Every local position inside a cluster is mapped back to its pool id by a join on (cluster, position)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("label").orderBy("vec_id")
     local = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pair_id"), (F.row_number().over(w) - 1).cast("long").alias("local"))
-    pick = local.where(F.md5(rng.keyed("gather", "label", "local")) < "4").select("label", "local")
-    return pick.join(local, ["label", "local"])
+    return local.select("label", "local").join(local, ["label", "local"])
 
 
 @R.add(f"""{WITH}, n AS (SELECT count(*) AS n FROM pairs), ids AS (SELECT pair_id, z_t, row_number() OVER (ORDER BY pair_id) - 1 AS pos FROM pairs),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
+_local: list[str] = []
+
 
 def build(name: str = "tamis", master: str | None = None, **conf: str) -> SparkSession:
     """UTC time zone, adaptive execution with skew joins, Arrow transfer; conf adds or overrides settings."""
@@ -34,3 +40,17 @@ def reach(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a local master gets a temporary
+    one, which goes when the process ends; a cluster, whose executors wouldn't see it, gets an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tamis-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return "file://" + _local[0]

@@ -6,6 +6,7 @@ import json
 import zipfile
 
 import numpy as np
+import pytest
 
 from tamis.sources.arrays import family_files, read_npy, read_zipped_csv, shard_files
 from tamis.sources.files import read_json_mixed, read_jsonl, resolve_paths, texts_of
@@ -60,3 +61,43 @@ def test_paths(spark):
     rows = spark.createDataFrame([("s", ".png", "s.png"), ("s", ".jpg", "s.jpg"), ("t", ".gif", "t.gif")], "stem string, ext string, path string")
     out = {r.stem: r.path for r in resolve_paths(rows, rows, "stem", [".jpg", ".png"]).collect()}
     assert out == {"s": "s.jpg", "t": None}
+
+
+def test_arrays_over_several_lines(spark, tmp_path):
+    rows = [{"a": k, "b": f"x\n{k}"} for k in range(5)]
+    (tmp_path / "whole.json").write_text("\n " + json.dumps(rows[:2], indent=2))
+    (tmp_path / "cut.json").write_text("[" + json.dumps(rows[2]) + ",\n" + json.dumps(rows[3]) + "]")
+    (tmp_path / "lines.json").write_text("\n" + json.dumps(rows[4]) + "\nbroken {\n[" + json.dumps({"a": 7}) + "]\n")
+    (tmp_path / "empty.json").write_text("\n")
+    out = read_json_mixed(spark, str(tmp_path / "*.json"), "struct<a:long,b:string>")
+    assert sorted((r.a, r.b) for r in out.collect()) == [(k, f"x\n{k}") for k in range(5)] + [(7, None)]
+
+
+def test_wrappers(spark, tmp_path):
+    from tamis.sources.files import read_wrapped, write_json_arrays
+
+    rows = spark.range(7).repartition(3)
+    for field in (None, "data"):
+        write_json_arrays(rows, str(tmp_path / f"w{field}"), field)
+        assert sorted(r.id for r in read_wrapped(spark, str(tmp_path / f"w{field}"), "struct<id:long>").collect()) == list(range(7))
+    write_json_arrays(rows.where("id < 0"), str(tmp_path / "none"))
+    assert read_wrapped(spark, str(tmp_path / "none"), "struct<id:long>").count() == 0
+    df = spark.createDataFrame([(1, '{"x": [1], "items": ["a", {"text": "b"}, "a"]}'), (2, None), (3, ' ["c"]')], "k long, json string")
+    assert sorted((r.k, r.pos, r.text) for r in texts_of(df, "json", ["k"]).collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
+    with pytest.raises(Exception, match="neither"):
+        texts_of(spark.createDataFrame([(1, '{"x": 1}')], "k long, json string"), "json", ["k"]).collect()
+
+
+def test_no_private_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tamis.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: "")
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)):
+        fake = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+        if fine:
+            assert shared_folder(fake).startswith("file:///")
+        else:
+            with pytest.raises(RuntimeError):
+                shared_folder(fake)
