@@ -1,9 +1,11 @@
 """Selection of rows: global and per-cluster top-k, and greedy selectors that run inside clusters.
 
-Greedy selectors look at the rows of one cluster at a time (Arrow batches, NumPy inside). Those that need a matrix
-of all pairs of a cluster refuse clusters of more than MATRIX_ROWS rows: such a cluster has to be split first
-(clustering.lloyd with group=...), which is also what spreads it over more tasks. Ties go to the smallest id, and
-scores are rounded to PLACES before they are compared.
+Greedy selectors look at the rows of one cluster at a time (Arrow batches, NumPy inside). A cluster of more than
+part_rows rows, which one task could not hold or would take too long for, is dealt by a hash of its keys into parts of
+about that size; its budget is shared by their sizes, and each part is a task (the usual first step of distributed
+submodular selection). part_rows is a parameter: MATRIX_ROWS for rules that hold a matrix of all pairs, COVER_ROWS for
+those that look at all pairs once, VECTOR_ROWS for those that hold vectors. Ties go to the smallest id, and scores are
+rounded to PLACES before they are compared.
 """
 
 from __future__ import annotations
@@ -16,9 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng, vectors as V
+from ..sources.files import scratch
+from .apportion import proportional
 from .clustering import PLACES
 
 MATRIX_ROWS = 8192
+COVER_ROWS = 1 << 16
+VECTOR_ROWS = 1 << 18
+#: Columns of a similarity that are worked out together.
+COLUMNS = 256
+#: Picks after which running distances are written down.
+FOLD = 16
 
 
 def top(df: DataFrame, score: Column, key: str, n: int) -> DataFrame:
@@ -66,6 +76,11 @@ def weighted(zv: np.ndarray, zt: np.ndarray, share: float) -> np.ndarray:
     return np.clip((1 + share * (zv @ zv.T) + (1 - share) * (zt @ zt.T)) / 2, 0, 1)
 
 
+def weighted_columns(zv: np.ndarray, zt: np.ndarray, share: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The same matrix as a function of column numbers."""
+    return lambda js: np.clip((1 + share * (zv @ zv[js].T) + (1 - share) * (zt @ zt[js].T)) / 2, 0, 1)
+
+
 def prototype(zv: np.ndarray, zt: np.ndarray, centre: np.ndarray, share: float) -> np.ndarray:
     """The same of each row with the image centre and the mean text of the rows."""
     text = zt.mean(axis=0)
@@ -96,6 +111,38 @@ def facility(sim: np.ndarray, k: int, proto: np.ndarray | None = None, alpha: fl
     return out
 
 
+def lazy_facility(columns: Callable[[np.ndarray], np.ndarray], n: int, k: int, proto: np.ndarray | None = None, alpha: float = 0.0) -> list[int]:
+    """The picks of facility() without the matrix: columns(js) gives its columns js.
+
+    A row's gain only falls as picks are made, so gains worked out earlier are upper bounds, and a row whose fresh
+    score still is the largest is the pick. All columns are looked at once, and then few.
+    """
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must lie in [0, 1]")
+    cover, free, out = np.zeros(n), np.ones(n, bool), []
+    score, fresh = np.empty(n), np.full(n, -1)
+
+    def renew(js: np.ndarray) -> None:
+        gain = np.maximum(columns(js) - cover[:, None], 0).sum(axis=0)
+        score[js] = np.round(gain if proto is None else alpha * proto[js] + (1 - alpha) * gain / n, PLACES)
+        fresh[js] = len(out)
+
+    for lo in range(0, n, COLUMNS):
+        renew(np.arange(lo, min(lo + COLUMNS, n)))
+    while len(out) < min(k, n):
+        bound = np.where(free, score, -np.inf)
+        j = int(np.argmax(bound))
+        if fresh[j] < len(out):
+            most = min(COLUMNS, n)
+            best = np.sort(np.argpartition(-bound, most - 1)[:most])
+            renew(np.union1d(best[free[best] & (fresh[best] < len(out))], [j]))
+            continue
+        out.append(j)
+        free[j] = False
+        np.maximum(cover, columns(np.array([j]))[:, 0], out=cover)
+    return out
+
+
 def herding(x: np.ndarray, k: int, candidates: np.ndarray | None = None) -> list[int]:
     """Each pick has the largest product with the mean of all rows less the mean of the picks so far.
 
@@ -144,13 +191,26 @@ def prune(x: np.ndarray, k: int, limit: float, hard: bool = True) -> list[int]:
     return taken + [int(j) for j in order if int(j) not in held][: max(0, k - len(taken))]
 
 
-def greedy_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, columns: list[str], rule: Callable[[dict[str, np.ndarray], int], list[int]], matrix: bool = True, key: str = "pair_id") -> DataFrame:
+def greedy_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, columns: list[str], rule: Callable[[dict[str, np.ndarray], int], list[int]], part_rows: int = MATRIX_ROWS, key: str = "pair_id") -> DataFrame:
     """(cluster, key, place): rule(columns as matrices, budget) picks positions among a cluster's rows, ordered by key.
 
-    A budget of the whole cluster takes it without asking the rule. budgets: (cluster, budget), one row per cluster.
+    A budget of the whole cluster takes it without asking the rule; a rule that doesn't give out a budget is an error.
+    budgets: (cluster, budget), one row per cluster. Clusters of more than part_rows rows are dealt into parts (see
+    above); their places rise inside a part, and part p has the places that are p modulo the number of parts.
     """
     b = budgets.select(F.col(budgets.columns[0]).alias("_c"), F.col(budgets.columns[-1]).cast("long").alias("_b")).where("_b > 0")
-    rows = df.select(F.col(cluster).alias("_c"), F.col(key).alias("_k"), *columns).join(b, "_c")
+    rows = df.select(F.col(cluster).alias("_c"), F.col(key).alias("_k"), *columns)
+    sizes = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows)
+    large = [(r["_c"], -(-r["_n"] // part_rows)) for r in sizes.collect()]  # at most one row per part_rows rows
+    if large:
+        parts = df.sparkSession.createDataFrame(large, "_c int, _parts int")
+        rows = rows.join(F.broadcast(parts), "_c", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        rows = rows.withColumn("_p", F.pmod(F.xxhash64("_k"), "_parts").cast("int"))
+        held = rows.groupBy("_c", "_p").agg(F.count(F.lit(1)).alias("_n")).join(b, "_c")
+        b = proportional(held, "_n", "_p", "_b", "_share", group="_c").select("_c", "_p", F.col("_share").alias("_b")).where("_b > 0")
+        rows = rows.join(b, ["_c", "_p"])
+    else:
+        rows = rows.join(b, "_c").withColumn("_p", F.lit(0)).withColumn("_parts", F.lit(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k", kind="stable").reset_index(drop=True)
@@ -158,33 +218,42 @@ def greedy_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, columns:
         if k >= len(pdf):
             picked = list(range(len(pdf)))
         else:
-            if matrix and len(pdf) > MATRIX_ROWS:
-                raise ValueError(f"cluster {pdf['_c'].iloc[0]} has {len(pdf)} rows; split clusters to at most {MATRIX_ROWS} first")
             picked = rule({c: V.to_matrix(pdf[c]) if pdf[c].dtype == object else pdf[c].to_numpy() for c in columns}, k)
-        return pd.DataFrame({"cluster": pdf["_c"].iloc[0], "key": pdf["_k"].to_numpy()[picked], "place": np.arange(len(picked))})
+            if len(set(picked)) != k:
+                raise RuntimeError(f"{len(set(picked))} rows picked of a budget of {k} in cluster {pdf['_c'].iloc[0]}")
+        return pd.DataFrame({"cluster": pdf["_c"].iloc[0], "key": pdf["_k"].to_numpy()[picked], "place": np.arange(len(picked)) * pdf["_parts"].iloc[0] + pdf["_p"].iloc[0]})
 
-    return rows.groupBy("_c").applyInPandas(run, "cluster int, key long, place int").withColumnRenamed("key", key)
+    return rows.groupBy("_c", "_p").applyInPandas(run, "cluster int, key long, place int").withColumnRenamed("key", key)
 
 
-def herd_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, features: str) -> DataFrame:
-    """Kernel herding in each cluster; every row is a candidate, whatever the cluster's size."""
-    return greedy_per_cluster(df, cluster, budgets, [features], lambda c, k: herding(c[features], k), matrix=False)
+def herd_per_cluster(df: DataFrame, cluster: str, budgets: DataFrame, features: str, part_rows: int = VECTOR_ROWS) -> DataFrame:
+    """Kernel herding in each cluster; every row is a candidate."""
+    return greedy_per_cluster(df, cluster, budgets, [features], lambda c, k: herding(c[features], k), part_rows)
 
 
 def farthest_rounds(df: DataFrame, key: str, vector: str, k: int, first: int) -> DataFrame:
     """(key, place): k rows, from a given first one, each the farthest (squared distance) from those before it.
 
-    The rule is sequential, so each pick is one distributed pass over the distances kept so far: rows stay where they
-    are, the pick's vector is sent out, and only the winner comes back. Picks are never repeated.
+    The rule is sequential, so each pick is one distributed pass: rows stay where they are, the last picks' vectors are
+    sent out, and only the winner comes back. Each row's distance from the picks before these is a column, written
+    down every FOLD picks. Picks are never repeated.
     """
     spark = df.sparkSession
-    rows = df.select(key, vector).persist()
-    picks: list[tuple[int, list[float]]] = [(first, list(rows.where(F.col(key) == first).first()[vector]))]
+    rows = df.select(key, vector, F.lit(float("inf")).alias("_near"))
+    recent: list[tuple[int, list[float]]] = [(first, list(rows.where(F.col(key) == first).first()[vector]))]
+    picks = [first]
     while len(picks) < k:
-        table = spark.createDataFrame([([v for _, v in picks],)], "_p array<array<double>>")
-        far = F.array_min(F.transform("_p", lambda p: V.squared_distance(p, F.col(vector))))
-        best = rows.crossJoin(F.broadcast(table)).where(~F.col(key).isin([i for i, _ in picks])).agg(F.max_by(F.struct(key, vector), F.struct(F.round(far, PLACES), -F.col(key))).alias("b")).first()
+        table = spark.createDataFrame([([v for _, v in recent],)], "_p array<array<double>>")
+        far = F.least("_near", F.array_min(F.transform("_p", lambda p: V.squared_distance(p, F.col(vector)))))
+        near = rows.where(~F.col(key).isin([i for i, _ in recent])).crossJoin(F.broadcast(table)).select(key, vector, far.alias("_near"))
+        if len(recent) == FOLD:
+            path = scratch(spark, "near")
+            near.write.parquet(path)
+            near = rows = spark.read.schema(near.schema).parquet(path)
+            recent = []
+        best = near.agg(F.max_by(F.struct(key, vector), F.struct(F.round("_near", PLACES), -F.col(key))).alias("b")).first()
         if best is None or best.b is None:
             break
-        picks.append((best.b[key], list(best.b[vector])))
-    return spark.createDataFrame([(i, n) for n, (i, _) in enumerate(picks)], f"{key} long, place int")
+        picks.append(best.b[key])
+        recent.append((best.b[key], list(best.b[vector])))
+    return spark.createDataFrame([(i, n) for n, i in enumerate(picks)], f"{key} long, place int")

@@ -14,6 +14,7 @@ from .base import Registry
 from .budget_plans import AWARE_SQL, SPLIT_SQL, SW_AWARE_SQL, clr_sql, gap_budgets, prop_sql, v21_fine, v3_fine
 from .cluster_plans import CENTROIDS_SQL, mean_sql, unit_sql
 from .stat_plans import GRID_SQL, features, gridded
+from .vector_plans import ORACLES as VECTOR_ORACLES, select_random
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -127,7 +128,7 @@ def per_fine(p: DataFrame, b: int = SMALL) -> DataFrame:
 
 
 def _matrix_rows(p: DataFrame, columns: list[str], rule) -> DataFrame:
-    """(cluster, i, j, s): entries of a matrix per fine cluster; at most MATRIX_ROWS rows a cluster."""
+    """(cluster, i, j, s): entries of a matrix per fine cluster, one task each; more than MATRIX_ROWS rows are an error."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,13 +202,13 @@ PROTO_SCORE = f"{ALPHA} * i.proto + {1 - ALPHA} * {COVER} / len(i.col)"
 
 def _proto_rule(c: dict[str, np.ndarray], k: int) -> list[int]:
     zv, zt = c["z_v"], c["z_t"]
-    return X.facility(X.weighted(zv, zt, SHARE), k, X.prototype(zv, zt, zv.mean(axis=0), SHARE), ALPHA)
+    return X.lazy_facility(X.weighted_columns(zv, zt, SHARE), len(zv), k, X.prototype(zv, zt, zv.mean(axis=0), SHARE), ALPHA)
 
 
 @R.add(f"WITH RECURSIVE {PAIRS_SQL}, {PROTO_ITEMS_SQL}, {PER_FINE_SQL}, {greedy_sql('pit', 'fbud2', ZERO, PROTO_SCORE, GROW)} {OUT}")
 def proto_greedy(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
-    return X.greedy_per_cluster(p, "fine", per_fine(p), ["z_v", "z_t"], _proto_rule)
+    return X.greedy_per_cluster(p, "fine", per_fine(p), ["z_v", "z_t"], _proto_rule, X.COVER_ROWS)
 
 
 KC_ITEMS_SQL = f"""{matrix_sql('kd', 'coarse', '1 - list_dot_product(a.z_v, b.z_v)')}, {CENTROIDS_SQL}, kit AS MATERIALIZED (SELECT kd.*, list_dot_product(z_v, centroid) AS proto FROM kd JOIN pairs ON pair_id = id JOIN cents ON cluster = grp)"""
@@ -223,7 +224,7 @@ def select_kcenter_clustered(spark: SparkSession, d: str) -> DataFrame:
         m = c["z_v"].mean(axis=0)
         return X.farthest_first(c["z_v"], m / (np.linalg.norm(m) + 1e-12), k)
 
-    return X.greedy_per_cluster(p, "coarse", proportional(p), ["z_v"], rule, matrix=False)
+    return X.greedy_per_cluster(p, "coarse", proportional(p), ["z_v"], rule, X.VECTOR_ROWS)
 
 
 @R.add(f"""WITH RECURSIVE {PAIRS_SQL}, kg(t, sel, near) AS (
@@ -267,13 +268,13 @@ def joint(p: DataFrame) -> DataFrame:
 def semdedup_local(spark: SparkSession, d: str) -> DataFrame:
     """Four rows of each fine cluster, hard ones first, none too similar to another while others are left."""
     p = joint(pairs(spark, d))
-    return X.greedy_per_cluster(p, "fine", per_fine(p, 4), ["joint"], lambda c, k: X.prune(c["joint"], k, LIMIT), matrix=False).select("cluster", "pair_id")
+    return X.greedy_per_cluster(p, "fine", per_fine(p, 4), ["joint"], lambda c, k: X.prune(c["joint"], k, LIMIT), X.VECTOR_ROWS).select("cluster", "pair_id")
 
 
 @R.add(f"WITH RECURSIVE {PAIRS_SQL}, {PBUD_SQL}, {prune_sql('coarse', 'pb')} SELECT id AS pair_id FROM chosen")
 def select_semdedup(spark: SparkSession, d: str) -> DataFrame:
     p = joint(pairs(spark, d))
-    return X.greedy_per_cluster(p, "coarse", proportional(p), ["joint"], lambda c, k: X.prune(c["joint"], k, LIMIT), matrix=False).select("pair_id")
+    return X.greedy_per_cluster(p, "coarse", proportional(p), ["joint"], lambda c, k: X.prune(c["joint"], k, LIMIT), X.VECTOR_ROWS).select("pair_id")
 
 
 HERD_ITEMS_SQL = "hm AS ({mean}), hit AS MATERIALIZED (SELECT {cluster} AS grp, pair_id AS id, psi AS col, m AS mu FROM feat JOIN hm ON hm.grp = {cluster})"
@@ -328,10 +329,10 @@ def select_v2(spark: SparkSession, d: str) -> DataFrame:
 def select_v2_1(spark: SparkSession, d: str) -> DataFrame:
     """Budgets by the sliced gap, split over fine clusters, prototype-conditioned cover in each."""
     b = v21_fine(spark, d).select("fine", "fine_budget")
-    return X.greedy_per_cluster(pairs(spark, d), "fine", b, ["z_v", "z_t"], _proto_rule).select("pair_id")
+    return X.greedy_per_cluster(pairs(spark, d), "fine", b, ["z_v", "z_t"], _proto_rule, X.COVER_ROWS).select("pair_id")
 
 
-SELECTORS = {f.__name__: f for f in (select_clipscore_pair, select_clipscore_proxy, select_v0, select_v0_proto, select_sw_random, select_kcenter_clustered, select_semdedup, select_herding, select_proposed, select_v1, select_v2, select_v2_1)}
+SELECTORS = {f.__name__: f for f in (select_random, select_clipscore_pair, select_clipscore_proxy, select_v0, select_v0_proto, select_sw_random, select_kcenter_clustered, select_kcenter_global, select_semdedup, select_herding, select_proposed, select_v1, select_v2, select_v2_1)}
 
 
 def select(name: str, spark: SparkSession, d: str) -> DataFrame:
@@ -341,25 +342,44 @@ def select(name: str, spark: SparkSession, d: str) -> DataFrame:
     return SELECTORS[name](spark, d)
 
 
-def _set_sql(f) -> str:
-    return f"({ORACLES[f].replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)})"
+def overlap_sql(methods: tuple[str, ...]) -> str:
+    sets = " UNION ALL ".join(f"SELECT '{m}' AS method, pair_id FROM ({(ORACLES | VECTOR_ORACLES)[m]})" for m in methods)
+    return f"""WITH runs AS ({sets}), n AS (SELECT method, count(*) AS n FROM runs GROUP BY method)
+SELECT a.method AS method, b.method AS other, round(c.k / (a.n + b.n - c.k), 4) AS jaccard FROM n a, n b, LATERAL (SELECT CAST(count(*) AS DOUBLE) AS k FROM runs x JOIN runs y USING (pair_id) WHERE x.method = a.method AND y.method = b.method) c WHERE a.method < b.method"""
 
 
-OVERLAP = ("select_clipscore_pair", "select_clipscore_proxy", "select_v0", "select_v0_proto")
-
-
-@R.add("WITH runs AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, pair_id FROM {_set_sql(m)}" for m in OVERLAP) + """), n AS (SELECT method, count(*) AS n FROM runs GROUP BY method)
-SELECT a.method AS method, b.method AS other, round(c.k / (a.n + b.n - c.k), 4) AS jaccard FROM n a, n b, LATERAL (SELECT CAST(count(*) AS DOUBLE) AS k FROM runs x JOIN runs y USING (pair_id) WHERE x.method = a.method AND y.method = b.method) c WHERE a.method < b.method""")
-def selector_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Jaccard index of every two of four selections; ids meet in one shuffle, not per pair of methods."""
+def overlaps(spark: SparkSession, d: str, methods: tuple[str, ...]) -> DataFrame:
+    """Jaccard index of every two selections; ids meet in one shuffle, not per pair of methods."""
     runs = None
-    for m in OVERLAP:
+    for m in methods:
         r = SELECTORS[m](spark, d).select(F.lit(m).alias("method"), "pair_id")
         runs = r if runs is None else runs.unionByName(r)
     held = runs.groupBy("pair_id").agg(F.collect_set("method").alias("ms"))  # at most one entry per method
     pairs_of = held.select(F.explode("ms").alias("method"), "ms").select("method", F.explode("ms").alias("other")).groupBy("method", "other").agg(F.count(F.lit(1)).alias("k"))
     n = pairs_of.where("method = other").select("method", F.col("k").alias("n"))
-    names = spark.createDataFrame([(a, b) for a in OVERLAP for b in OVERLAP if a < b], "method string, other string")
+    names = spark.createDataFrame([(a, b) for a in methods for b in methods if a < b], "method string, other string")
     both = names.join(pairs_of, ["method", "other"], "left").join(n, "method").join(n.select(F.col("method").alias("other"), F.col("n").alias("m")), "other")
     k = F.coalesce("k", F.lit(0))
     return both.select("method", "other", F.round(k / (F.col("n") + F.col("m") - k), 4).alias("jaccard"))
+
+
+OVERLAP = ("select_clipscore_pair", "select_clipscore_proxy", "select_v0", "select_v0_proto")
+FIVE = ("select_proposed", "select_random", "select_clipscore_proxy", "select_kcenter_global", "select_sw_random")
+DIAGNOSED = ("select_random", "select_v0", "select_v0_proto", "select_v1", "select_v2")
+
+
+@R.add(overlap_sql(OVERLAP))
+def selector_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(spark, d, OVERLAP)
+
+
+@R.add(overlap_sql(FIVE))
+def selector_overlap_five(spark: SparkSession, d: str) -> DataFrame:
+    """The whole method next to its four rivals."""
+    return overlaps(spark, d, FIVE)
+
+
+@R.add(overlap_sql(DIAGNOSED))
+def selector_overlap_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    """The selectors of the older generation and a random one."""
+    return overlaps(spark, d, DIAGNOSED)

@@ -149,6 +149,50 @@ def test_alpha_one_takes_the_best_prototypes(k):
     assert X.facility(sim, k, proto, 1.0) == np.argsort(-proto).tolist()[:k]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 700), st.integers(0, 9), st.sampled_from([None, 0.0, 0.4, 1.0]), st.integers(0, 99))
+def test_lazy_cover_equals_the_matrix(n, k, alpha, seed):
+    r = np.random.default_rng(seed)
+    zv, zt = (r.normal(size=(n, 3)) for _ in range(2))
+    zv, zt = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (zv, zt))
+    zv[n // 2], zt[n // 2] = zv[0], zt[0]  # a tie
+    proto = None if alpha is None else r.uniform(size=n)
+    whole = X.facility(X.weighted(zv, zt, 0.7), k, proto, alpha or 0.0)
+    assert X.lazy_facility(X.weighted_columns(zv, zt, 0.7), n, k, proto, alpha or 0.0) == whole
+
+
+def test_large_clusters_are_dealt_into_parts(spark):
+    x = np.random.default_rng(4).normal(size=(400, 3))
+    df = spark.createDataFrame([(i, int(i >= 300), v) for i, v in enumerate(x.tolist())], "pair_id long, c int, v array<double>")
+    b = spark.createDataFrame([(0, 31), (1, 7)], "c int, budget long")
+    out = X.herd_per_cluster(df, "c", b, "v", part_rows=128).collect()
+    assert {c: len({r.pair_id for r in out if r.cluster == c}) for c in (0, 1)} == {0: 31, 1: 7}
+    assert len({(r.cluster, r.place) for r in out}) == 38
+    alone = X.herd_per_cluster(df.where("c = 1"), "c", b, "v").collect()
+    assert sorted(r.pair_id for r in alone) == sorted(r.pair_id for r in out if r.cluster == 1)  # a cluster that fits is left alone
+
+
+def test_a_budget_that_is_not_given_out_is_an_error(spark):
+    df = spark.createDataFrame([(i, 0, [float(i)]) for i in range(4)], "pair_id long, c int, v array<double>")
+    b = spark.createDataFrame([(0, 2)], "c int, budget long")
+    with pytest.raises(Exception, match="of a budget of 2"):
+        X.greedy_per_cluster(df, "c", b, ["v"], lambda c, k: [1, 1]).collect()
+
+
+@pytest.mark.parametrize("fold", [2, 16])
+def test_global_farthest_by_brute_force(spark, monkeypatch, fold):
+    monkeypatch.setattr(X, "FOLD", fold)
+    x = np.random.default_rng(1).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "pair_id long, v array<double>")
+    out = [r.pair_id for r in X.farthest_rounds(df, "pair_id", "v", 8, 5).orderBy("place").collect()]
+    want = [5]
+    while len(want) < 8:
+        near = ((x[:, None] - x[want]) ** 2).sum(axis=2).min(axis=1)
+        near[want] = -1
+        want.append(int(np.argmax(np.round(near, 9))))
+    assert out == want
+
+
 def test_alpha_zero_is_the_plain_cover():
     s = np.random.default_rng(0).uniform(size=(9, 9))
     assert X.facility(s, 4, np.random.default_rng(1).uniform(size=9), 0.0) == X.facility(s, 4)
