@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesvec as bv
-from .common import arrow_limits, staged, tidy
+from .common import arrow_limits, key_filter, maybe_in, staged, tidy
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -179,10 +179,16 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs' rows as (text, doc: all columns as a struct, n_dropped, keep_bitmap); bitmaps are null where nothing goes."""
+    """docs' rows as (text, doc: all columns as a struct, n_dropped, keep_bitmap); bitmaps are null where nothing goes.
+
+    Only rows that may have a bitmap, told by a key filter, are shuffled to look theirs up.
+    """
+    ids = ["_i", "_h"]
     whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"))
-    marks = bitmaps.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "n_dropped", "keep_bitmap")
-    return whole.join(marks, ["_i", "_h"], "left").select("doc", "n_dropped", "keep_bitmap")
+    marks = staged(bitmaps.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "n_dropped", "keep_bitmap"), "bitmaps")
+    found = key_filter(marks, ids)
+    stay = maybe_in(whole, ids, found, outside=True).select("doc", F.lit(None).cast("long").alias("n_dropped"), F.lit(None).cast("binary").alias("keep_bitmap"))
+    return stay.unionByName(maybe_in(whole, ids, found).join(marks, ids, "left").select("doc", "n_dropped", "keep_bitmap"))
 
 
 def kept_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

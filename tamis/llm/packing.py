@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -36,6 +37,16 @@ CACHE_PIECES = 800_000
 #: Ids in one row of the encoded table: longer documents are several rows, so that rows are of like sizes.
 CHUNK_IDS = 4096
 
+# The form of tokenizer files whose texts may be encoded piece by piece.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 _DIRECTIONS = np.random.default_rng(5).normal(size=(COORDINATES, DIMS))
 _encoders: dict[str, "Encoder"] = {}
 
@@ -56,7 +67,8 @@ class Encoder:
     digits and runs of symbols before its merges. Such a piece is encoded once and remembered.
 
     Space-separated chunks that hold anything less plain (apostrophes, letters beyond U+00FF, combining or other
-    marks, what may be a special token) are pieces as a whole, so that the tokenizer itself decides on them.
+    marks, what may be a special token) are pieces as a whole, so that the tokenizer itself decides on them. A tokenizer
+    of another form (its file's normalizer or pre_tokenizer differs) gets every text as a whole.
     """
 
     def __init__(self, path: str):
@@ -64,6 +76,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.by_pieces = (form.get("normalizer"), form.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER)
         self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a piece
         for token, k in self.tok.get_vocab().items():
             self.last[k] = token.endswith("</w>")
@@ -104,6 +119,9 @@ class Encoder:
 
     def encode_run(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a run."""
+        if not self.by_pieces:
+            texts = [raw[s:e].tobytes().decode() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         starts, ends, plain = pieces(raw, at)
         if not len(starts):
             return [np.zeros(0, self.kind)] * (len(at) - 1)

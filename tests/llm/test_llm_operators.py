@@ -405,6 +405,18 @@ def test_rules_by_brute_force(spark):
         assert (out[i].rule, out[i].verdict) == (max(fits)[1:] if fits else (None, "allow"))
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        tok, texts = Tokenizer.from_file(path), ["The Straße, É é I'll GO 12", "", " two  words\n", "ÀB àb <|endoftext|> x"] + ["Repeated words, Repeated Words "] * 3
+        for _, _, raw, at in bv.text_runs(pa.array(texts)):
+            got = packing.Encoder(path).encode_run(raw, at)
+            assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_urls_of_nothing(spark):
     assert filter_urls(spark.createDataFrame([], PAGES)).count() == 0
     assert alias_edges(spark.createDataFrame([(1, "http://a.b/c", "<link rel=canonical href='/c'>")], PAGES)).count() == 0
