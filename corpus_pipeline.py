@@ -24,22 +24,43 @@ NEAR_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on labels, rejects go; null texts score the bias alone, and
+    without labels to learn from nothing goes.
+
+    Null and empty texts, ties, repeated rows, very long texts, extra columns and empty tables: see drop_toxic.
+    """
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"), cut=CUT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in many documents stay in the last of these alone; no document goes, a null text stays null.
+
+    Null and empty texts, ties, repeated rows, very long texts, extra columns and empty tables: see without_repeated_lines.
+    """
     return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest doc_id; null and wordless texts stay.
+
+    Null and empty texts, ties, repeated rows, very long texts, extra columns and empty tables: see one_per_group.
+    """
     return one_per_group(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of benchmark go; null texts, and all documents where benchmark is empty, stay.
+
+    Null and empty texts, ties, repeated rows, very long texts, extra columns and empty tables: see drop_contaminated.
+    """
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of packed sequences; a null text is its end id alone.
+
+    Null and empty texts, ties, repeated rows, very long texts, extra columns and empty tables: see pack.
+    """
     return pack(docs, tokenizer_path())
 
 
