@@ -158,41 +158,66 @@ def filled_gaps(gaps: DataFrame, least: int = 2) -> DataFrame:
     return gaps.crossJoin(F.broadcast(valid)).select("cluster", "n", F.when(F.col("n") >= least, F.col("w")).otherwise(F.coalesce("_m", F.lit(0.0))).alias("gap"))
 
 
-def w2_1d(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, w2): exact squared 2-Wasserstein distance of two sets of numbers per key, of any sizes.
+def ordered(df: DataFrame, keys: list[str], value: str, tie: str | None = None) -> DataFrame:
+    """Adds _i, the rank of value under its keys from 1 on, _n, how many there are, and _before, the sum of those before.
 
-    Quantile functions are steps. Steps of both sides end at whole multiples of m and n, so both are merged on
-    integer end points, and every piece between two of them has one value of either side: a sort per key, never
-    a product of the two sides.
+    Rows are range-partitioned by (keys, value, tie) and numbered inside a partition; counts and sums of partitions, one
+    row per partition and key it holds, give the offsets. So no key has to fit one task, nor does a value if tie tells
+    its rows apart. Rows are kept: both uses must see the same partitions.
     """
-    w = Window.partitionBy(*keys)
-
-    def steps(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.col(value).alias(name), F.row_number().over(w.orderBy(value)).cast("long").alias("i"), F.count(F.lit(1)).over(w).alias("size"))
-
-    sizes = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    n, m = sizes(left, "n"), sizes(right, "m")
-    x = steps(left, "x").join(m, keys).select(*keys, (F.col("i") * F.col("m")).alias("end"), "x", F.lit(None).cast("double").alias("y"), (F.col("size") * F.col("m")).alias("whole"))
-    y = steps(right, "y").join(n, keys).select(*keys, (F.col("i") * F.col("n")).alias("end"), F.lit(None).cast("double").alias("x"), "y", (F.col("size") * F.col("n")).alias("whole"))
-    ends = x.unionByName(y).groupBy(*keys, "end").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("whole").alias("whole"))
-    down = w.orderBy(F.desc("end"))
-    fill = lambda c: F.last(c, ignorenulls=True).over(down)
-    pieces = ends.select(*keys, "whole", fill("x").alias("x"), fill("y").alias("y"), (F.col("end") - F.coalesce(F.lead("end").over(down), F.lit(0))).alias("width"))
-    return pieces.groupBy(*keys).agg(F.sum(F.col("width") / F.col("whole") * F.pow(F.col("x") - F.col("y"), F.lit(2))).alias("w2"))
-
-
-def grid_w2(left: DataFrame, right: DataFrame, keys: list[str], value: str, most: int = 256) -> DataFrame:
-    """(keys, w2): mean squared difference of quantiles on a grid of min(n, m, most) points, positions rounded down."""
-    w = Window.partitionBy(*keys)
-    sizes = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    grid = sizes(left, "n").join(sizes(right, "m"), keys).withColumn("g", F.least("n", "m", F.lit(most)))
-    grid = grid.select(*keys, "n", "m", "g", F.explode(F.sequence(F.lit(0), F.col("g").cast("int") - 1)).alias("k"))
+    inside = [value, *([tie] if tie else [])]
+    ranged = df.repartitionByRange(*keys, *inside).withColumn("_part", F.spark_partition_id()).persist()
+    held = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_t"))
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c, none, over: F.coalesce(F.sum(c).over(over), F.lit(none))
+    offsets = held.select("_part", *keys, start("_c", 0, so_far).alias("_c0"), start("_t", 0.0, so_far).alias("_t0"), F.sum("_c").over(group).alias("_n"))
+    place = Window.partitionBy("_part", *keys).orderBy(*inside)
+    earlier = place.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.join(offsets, ["_part", *keys])
+    return numbered.select(*df.columns, (F.col("_c0") + F.row_number().over(place)).alias("_i"), "_n", (F.col("_t0") + start(value, 0.0, earlier)).alias("_before"))
+
+
+def w2_1d(left: DataFrame, right: DataFrame, keys: list[str], value: str, shared: list[str] | None = None, tie: str | None = None) -> DataFrame:
+    """(keys, w2): exact squared 2-Wasserstein distance of two sets of numbers per key, of any sizes. Rows without a value
+    don't count; keys that one side lacks are left out.
+
+    shared names the keys that the right side has, if it hasn't all of them: it is then ordered once, whatever the number
+    of other keys. With quantile functions f and g, the distance is mean(f^2) + mean(g^2) - 2 int f g, and f is a step of
+    width 1/n for each number x of the left side: the last integral is the sum of x (G(i/n) - G((i-1)/n)), where G, the
+    running integral of g, is known at every number of the right side. So each number looks up two places there: a join
+    on the place, never a product of the two sides. n times m must be below 2^63.
+    """
+    shared = keys if shared is None else shared
+    left, right = left.where(F.col(value).isNotNull()), right.where(F.col(value).isNotNull())
+    whole = right.groupBy(*shared).agg(F.count(F.lit(1)).alias("_m"), F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"))
+    steps = ordered(right, shared, value, tie).select(*shared, (F.col("_i") - 1).alias("_j"), F.col(value).alias("_y"), F.col("_before").alias("_sum"))
+    side = lambda at, sign: F.struct(at.alias("at"), F.lit(sign).alias("sign"))
+    ends = ordered(left, keys, value, tie).select(*keys, F.col(value).alias("_x"), "_n", F.explode(F.array(side(F.col("_i"), 1.0), side(F.col("_i") - 1, -1.0))).alias("_e"))
+    at = ends.join(whole, shared).withColumn("_j", F.expr("(_e.at * _m) DIV _n"))
+    found = at.join(steps, [*shared, "_j"], "left")  # none at the end, where G is the mean
+    # All numbers less the right side's mean: so little as possible cancels out.
+    part = (F.expr("(_e.at * _m) % _n") / F.col("_n")) * (F.col("_y") - F.col("_mean"))
+    g = F.coalesce((F.col("_sum") - F.col("_j") * F.col("_mean") + part) / F.col("_m"), F.lit(0.0))
+    x = F.col("_x") - F.col("_mean")
+    square = F.when(F.col("_e.sign") > 0, x * x / F.col("_n")).otherwise(0.0)
+    sums = found.groupBy(*keys).agg(F.sum(square - 2 * F.col("_e.sign") * x * g).alias("_w"), F.max("_var").alias("_var"))
+    return sums.select(*keys, F.greatest(F.lit(0.0), F.col("_w") + F.col("_var")).alias("w2"))
+
+
+def grid_w2(left: DataFrame, right: DataFrame, keys: list[str], value: str, most: int = 256, shared: list[str] | None = None, tie: str | None = None) -> DataFrame:
+    """(keys, w2): mean squared difference of quantiles on a grid of min(n, m, most) points, positions rounded down. shared
+    names the keys of the right side, if it hasn't all of them."""
+    shared = keys if shared is None else shared
+    sizes = lambda df, by, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    grid = sizes(left, keys, "_n").join(sizes(right, shared, "_m"), shared).withColumn("_g", F.least("_n", "_m", F.lit(most)))
+    grid = grid.select(*keys, "_n", "_m", "_g", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)).alias("_k"))
     # floor(k (n - 1) / (g - 1)) in whole numbers
-    at = lambda size: F.when(F.col("g") > 1, F.expr(f"(k * ({size} - 1)) DIV (g - 1)")).otherwise(F.lit(0)).cast("long")
-    grid = grid.select(*keys, "k", at("n").alias("i"), at("m").alias("j"))
-    ranked = lambda df, name, r: df.select(*keys, F.col(value).alias(name), (F.row_number().over(w.orderBy(value)) - 1).cast("long").alias(r))
-    both = grid.join(ranked(left, "x", "i"), [*keys, "i"]).join(ranked(right, "y", "j"), [*keys, "j"])
-    return both.groupBy(*keys).agg(F.avg(F.pow(F.col("x") - F.col("y"), F.lit(2))).alias("w2"))
+    at = lambda size: F.when(F.col("_g") > 1, F.expr(f"(_k * ({size} - 1)) DIV (_g - 1)")).otherwise(F.lit(0)).cast("long")
+    grid = grid.select(*keys, "_k", at("_n").alias("_i"), at("_m").alias("_j"))
+    ranked = lambda df, by, name, r: ordered(df, by, value, tie).select(*by, F.col(value).alias(name), (F.col("_i") - 1).alias(r))
+    both = grid.join(ranked(left, keys, "_x", "_i"), [*keys, "_i"]).join(ranked(right, shared, "_y", "_j"), [*shared, "_j"])
+    return both.groupBy(*keys).agg(F.avg(F.pow(F.col("_x") - F.col("_y"), F.lit(2))).alias("w2"))
 
 
 def guarded_correlation(x: Column, y: Column) -> Column:

@@ -124,25 +124,25 @@ sw AS (SELECT cluster, max(n) AS n, sqrt(avg(w2)) AS w FROM w2 GROUP BY cluster)
 
 
 def lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Projections (cluster, l, y) of the pool and of all proxies pooled, the latter dealt to every cluster."""
-    p = pairs(spark, d).select("coarse", F.posexplode(V.project(unit_projections("proj", PROJECTIONS, 32))("z_t")).alias("l", "y")).persist()
-    left = p.select(F.col("coarse").alias("cluster"), "l", "y")
-    clusters = left.select("cluster").distinct()  # one row per cluster
-    right = p.select("l", "y").crossJoin(F.broadcast(clusters))
-    return left, right
+    """Projections (cluster, l, y, pair_id) of the pool, and (l, y, pair_id) of all proxies pooled."""
+    p = pairs(spark, d).select("pair_id", "coarse", F.posexplode(V.project(unit_projections("proj", PROJECTIONS, 32))("z_t")).alias("l", "y")).persist()  # read for either order
+    return p.withColumnRenamed("coarse", "cluster"), p.drop("coarse")
+
+
+def line_distances(spark: SparkSession, d: str) -> DataFrame:
+    """(cluster, l, w2) of every cluster and projection."""
+    return S.w2_1d(*lines(spark, d), ["cluster", "l"], "y", shared=["l"], tie="pair_id")
 
 
 def sliced(spark: SparkSession, d: str) -> DataFrame:
-    left, right = lines(spark, d)
-    w = S.w2_1d(left, right, ["cluster", "l"], "y").groupBy("cluster").agg(F.sqrt(F.avg("w2")).alias("w"))
+    w = line_distances(spark, d).groupBy("cluster").agg(F.sqrt(F.avg("w2")).alias("w"))
     n = pairs(spark, d).groupBy(F.col("coarse").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
     return w.join(n, "cluster").select("cluster", "n", "w")
 
 
 @R.add(f"WITH {LINES_SQL} SELECT cluster, l, round(w2, 6) AS w2 FROM w2")
 def w2_exact_1d(spark: SparkSession, d: str) -> DataFrame:
-    left, right = lines(spark, d)
-    return S.w2_1d(left, right, ["cluster", "l"], "y").withColumn("w2", F.round("w2", 6))
+    return line_distances(spark, d).withColumn("w2", F.round("w2", 6))
 
 
 @R.add(f"WITH {LINES_SQL} SELECT cluster, n, round(w, 6) AS w FROM sw")
@@ -167,8 +167,7 @@ gridded AS MATERIALIZED (SELECT cluster, avg(w2) AS w2 FROM grid GROUP BY cluste
 
 
 def gridded(spark: SparkSession, d: str) -> DataFrame:
-    left, right = lines(spark, d)
-    return S.grid_w2(left, right, ["cluster", "l"], "y").groupBy("cluster").agg(F.avg("w2").alias("w2"))
+    return S.grid_w2(*lines(spark, d), ["cluster", "l"], "y", shared=["l"], tie="pair_id").groupBy("cluster").agg(F.avg("w2").alias("w2"))
 
 
 @R.add(f"WITH {GRID_SQL} SELECT cluster, round(w2, 6) AS w2 FROM gridded")
