@@ -73,6 +73,62 @@ def lloyd(df: DataFrame, key: str, vector: str, k: int, rounds: int, seed: str,
     return assigned().drop("_g")
 
 
+def closest(cents: np.ndarray):
+    """Scalar pandas function of a vector: the row of cents at the least squared distance, ties: the first."""
+
+    @F.pandas_udf("int")
+    def pick(vector: pd.Series) -> pd.Series:
+        if not len(vector):
+            return pd.Series([], dtype=np.int32)
+        x = V.to_matrix(vector)
+        d = (x * x).sum(axis=1)[:, None] + (cents * cents).sum(axis=1) - 2 * x @ cents.T
+        return pd.Series(np.argmin(np.round(d, PLACES), axis=1).astype(np.int32))
+
+    return pick
+
+
+def minibatch(df: DataFrame, key: str, vector: str, k: int, rounds: int, seed: str, batch: int = 4096, starts: int = 3, reassign: float = 0.01) -> DataFrame:
+    """Euclidean k-means by mini-batches: df with a column cluster (0..k-1). No row with a null vector may be among them.
+
+    A round draws each row with probability batch / n, by a hash of seed, round and key, and moves each centroid to the
+    mean of all vectors it has been given so far. Before, the best of some starts, each the first k vectors by a hash, is
+    chosen by its squared distances in the first batch. A centroid with less than the share reassign of the largest
+    count goes to a drawn vector, the first ones by key, with the least count of the others. Rows don't move; the driver
+    holds k centroids. Fewer rows than k give as many clusters.
+    """
+    base = df.persist()
+    n = base.count()
+    if not n:
+        base.unpersist()
+        return df.withColumn("cluster", F.lit(0))
+    share = min(1.0, batch / n)
+    drawn = lambda t: base.where(rng.uniform(rng.keyed(seed, F.lit(t), key)) < share)
+
+    def start(s: int) -> np.ndarray:
+        first = base.orderBy(F.md5(rng.keyed(f"{seed}-{s}", key)), key).limit(k).select(vector).collect()
+        return np.array([r[0] for r in first], float)
+
+    def inertia(cents: np.ndarray) -> float:
+        own = F.element_at(F.lit(cents.tolist()), closest(cents)(F.col(vector)) + 1)
+        return drawn(0).agg(F.sum(V.squared_distance(F.col(vector), own))).first()[0] or 0.0
+
+    options = [start(s) for s in range(starts)]
+    cents = options[0] if starts == 1 else min(options, key=inertia)
+    counts = np.zeros(len(cents))
+    for t in range(rounds):
+        means = drawn(t).groupBy(closest(cents)(F.col(vector)).alias("c")).agg(F.count(F.lit(1)).alias("n"), V.mean_vector(F.col(vector)).alias("m")).collect()
+        for r in means:
+            cents[r.c] = (cents[r.c] * counts[r.c] + np.array(r.m) * r.n) / (counts[r.c] + r.n)
+            counts[r.c] += r.n
+        low = np.flatnonzero(counts < reassign * counts.max())
+        if len(low) and len(low) < len(counts):
+            fresh = drawn(t).orderBy(key).limit(len(low)).select(vector).collect()
+            for c, r in zip(low, fresh):
+                cents[c] = np.array(r[0])
+            counts[low] = np.delete(counts, low).min()
+    return base.withColumn("cluster", closest(cents)(F.col(vector)))
+
+
 def _top_of_blocks(k: int, vector: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.half == 0], pdf[pdf.half == 1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -12,6 +12,53 @@ from ..functions.text import key, normal, phrase, words
 TEMPLATES = ("a person {a}", "a photo of a person {a}", "someone {a} in a public place", "a surveillance image of a person {a}")
 PARAPHRASES = (("a person", "an individual"), ("a photo of", "an image showing"))
 
+# The names of families, in order, of each preset.
+PRESETS = {
+    "default": ("anomaly", "normal", "hard_cases", "appearance"),
+    "hybrid": ("Q1_templates", "Q2_deepseek_paraphrases", "Q3_deepseek_anomaly", "Q4_deepseek_hard_cases", "Q5_deepseek_normal", "Q6_deepseek_appearance"),
+}
+
+
+def preset(spark: SparkSession, name: str) -> DataFrame:
+    """(family_order, family, generated) of a preset; texts of Q1_templates come from templates, all others are generated."""
+    if name not in PRESETS:
+        raise ValueError(f"no preset {name}; there are {', '.join(PRESETS)}")
+    return spark.createDataFrame([(k, f, f != "Q1_templates") for k, f in enumerate(PRESETS[name])], "family_order int, family string, generated boolean")
+
+
+def failure_family(df: DataFrame, failed: Column, part: str, name: str = "Q3_validation_failures") -> DataFrame:
+    """Rows of the validation split that failed, tagged as a family of their own; rows of other splits never get in, nor do
+    rows whose part or failure is null."""
+    return df.where((F.col(part) == "validation") & failed).withColumn("family", F.lit(name))
+
+
+def main_run(df: DataFrame, family: str, ablation: tuple[str, ...] = ("Q3_validation_failures",)) -> DataFrame:
+    """Rows of families that are not for ablations only; rows without a family stay."""
+    return df.where(~F.coalesce(F.col(family).isin(*ablation), F.lit(False)))
+
+
+def leak_filter(df: DataFrame, id: str, text: str, captions: DataFrame, caption: str, size: int = 5, share: float = 0.8) -> DataFrame:
+    """Rows whose text neither equals a caption by its key nor derives from captions: less than the share of its distinct
+    runs of size words occur in them. A text of fewer words has no runs, and a null one has no key: only equality, or
+    nothing, can make them go. ids must differ.
+
+    Runs meet as hashes with the distinct runs of all captions, and are counted per text: no pairs of texts.
+    """
+
+    def runs(t: Column) -> Column:
+        w = F.filter(F.split(key(t), " "), lambda x: x != "")
+        at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+
+    known = captions.select(F.explode(runs(F.col(caption))).alias("_h")).distinct()
+    own = df.select(F.col(id).alias("_id"), F.explode(runs(F.col(text))).alias("_h"))
+    found = own.join(known, "_h", "left_semi").groupBy("_id").agg(F.count(F.lit(1)).alias("_found"))
+    equal = captions.select(F.xxhash64(key(F.col(caption))).alias("_k"), key(F.col(caption)).alias("_key")).where("_key IS NOT NULL").distinct()
+    rest = df.withColumn("_key", key(F.col(text))).withColumn("_k", F.xxhash64("_key")).join(equal, ["_k", "_key"], "left_anti").drop("_k", "_key")
+    # Whole numbers: 4 of 5 is not less than 0.8.
+    derived = F.coalesce(F.col("_found"), F.lit(0)) * 1000 >= F.size(runs(F.col(text))) * F.lit(round(share * 1000))
+    return rest.join(found, F.col(id) == F.col("_id"), "left").where(F.col("_found").isNull() | ~derived).select(*df.columns)
+
 
 def parse_response(raw: Column) -> Column:
     """map<family, array<text>> of a model's answer: plain or fenced JSON, or the widest {...} in it, with or without a

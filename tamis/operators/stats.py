@@ -240,6 +240,27 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
 
 
+def principal(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(components as rows, shares of variance, mean) of the first k principal components; of a component the entry that is
+    largest in size is positive. What is collected depends on the dimensions alone."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.select(array_to_vector(F.col(vector)).alias("x"))
+    model = PCA(k=k, inputCol="x", outputCol="y").fit(x)
+    parts = model.pc.toArray().T
+    signs = np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(axis=1)])
+    mean = np.array(df.agg(V.mean_vector(F.col(vector))).first()[0])
+    return parts * signs[:, None], model.explainedVariance.toArray(), mean
+
+
+def principal_coordinates(df: DataFrame, vector: str, k: int) -> DataFrame:
+    """Adds coordinates, of the vectors less their mean on the first k principal components."""
+    parts, _, mean = principal(df, vector, k)
+    shift = F.array(*(F.lit(float(v)) for v in parts @ mean))
+    return df.withColumn("coordinates", F.zip_with(V.project(parts)(F.col(vector)), shift, lambda a, b: a - b))
+
+
 def wilson(share: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """(low, high) of the Wilson interval, in percent, of a share in percent over n trials; null if n <= 0."""
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share / 100.0))

@@ -148,16 +148,28 @@ def split_fine_v21(spark: SparkSession, d: str) -> DataFrame:
     return v21_fine(spark, d).select("cluster", "fine", "fine_budget")
 
 
-@R.add(f"""WITH RECURSIVE {AWARE_SQL}, sz AS (SELECT 0 AS grp, cluster AS bin, n FROM gaps), {prop_sql('pr', 'sz', str(GAP_TOTAL))}
-SELECT CAST(sum(p.budget) AS BIGINT) AS proportional, CAST(sum(a.budget) AS BIGINT) AS shifted, CAST(sum(abs(a.budget - p.budget)) AS BIGINT) AS l1, CAST(max(abs(a.budget - p.budget)) AS BIGINT) AS most, count(*) FILTER (a.budget <> p.budget) AS bins FROM aware a JOIN pr p USING (bin)""")
-def budget_shift(spark: SparkSession, d: str) -> DataFrame:
-    aware = gap_budgets(spark, d).persist()
+def shift(aware: DataFrame) -> DataFrame:
+    """One row: how far budgets by gaps (cluster, n, budget) lie from proportional ones."""
+    aware = aware.persist()
     plain = A.proportional(aware.select("cluster", "n"), "n", "cluster", GAP_TOTAL, "plain")
     both = aware.join(plain.select("cluster", "plain"), "cluster")
     diff = F.abs(F.col("budget") - F.col("plain"))
     return both.agg(F.sum("plain").alias("proportional"), F.sum("budget").alias("shifted"), F.sum(diff).alias("l1"), F.max(diff).alias("most"), F.count_if(diff > 0).alias("bins"))
 
 
+@R.add(f"""WITH RECURSIVE {AWARE_SQL}, sz AS (SELECT 0 AS grp, cluster AS bin, n FROM gaps), {prop_sql('pr', 'sz', str(GAP_TOTAL))}
+SELECT CAST(sum(p.budget) AS BIGINT) AS proportional, CAST(sum(a.budget) AS BIGINT) AS shifted, CAST(sum(abs(a.budget - p.budget)) AS BIGINT) AS l1, CAST(max(abs(a.budget - p.budget)) AS BIGINT) AS most, count(*) FILTER (a.budget <> p.budget) AS bins FROM aware a JOIN pr p USING (bin)""")
+def budget_shift(spark: SparkSession, d: str) -> DataFrame:
+    return shift(gap_budgets(spark, d))
+
+
+@R.add(f"""WITH RECURSIVE {SW_AWARE_SQL}, sz AS (SELECT 0 AS grp, cluster AS bin, n FROM sw), {prop_sql('pr', 'sz', str(GAP_TOTAL))}
+SELECT CAST(sum(p.budget) AS BIGINT) AS proportional, CAST(sum(a.budget) AS BIGINT) AS shifted, CAST(sum(abs(a.budget - p.budget)) AS BIGINT) AS l1, CAST(max(abs(a.budget - p.budget)) AS BIGINT) AS most, count(*) FILTER (a.budget <> p.budget) AS bins FROM sbud a JOIN pr p USING (bin)""")
+def sliced_budget_shift(spark: SparkSession, d: str) -> DataFrame:
+    """The same for budgets by sliced gaps."""
+    return shift(A.by_gap(filled_gaps(sliced(spark, d), least=1), "n", "gap", "cluster", GAP_TOTAL))
+
+
 @R.add(f"WITH RECURSIVE {TARGETS_SQL} SELECT cluster, budget, n FROM scored JOIN clr ON bin = cluster ORDER BY budget DESC, cluster LIMIT 3")
 def alloc_top_clusters(spark: SparkSession, d: str) -> DataFrame:
     return allocate_v3(spark, d).orderBy(F.desc("budget"), "cluster").limit(3).select("cluster", "budget", "n")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.clustering import assign, centroids, cluster_sizes as sizes_of, knn_within, lloyd
+from ..operators.clustering import assign, centroids, cluster_sizes as sizes_of, knn_within, lloyd, minibatch
 from ..sources.pairs import PAIRS_SQL, pairs
-from .base import Registry
+from .base import UNIFORM, Registry
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -65,6 +65,25 @@ def kmeans_lloyd_fixed(spark: SparkSession, d: str) -> DataFrame:
     return lloyd(pairs(spark, d).select("pair_id", "z_v"), "pair_id", "z_v", 6, 3, "lloyd").select("pair_id", "cluster")
 
 
+def minibatch_sql(k: int, rounds: int, seed: str, batch: int) -> str:
+    """operators.clustering.minibatch with one start and no reassignment, unrolled; the last expression is mb_a{rounds}."""
+    near = "arg_min(c, {'d': round(list_dot_product(z_v, z_v) + list_dot_product(v, v) - 2 * list_dot_product(z_v, v), 9), 'c': c})"
+    out = f"mb_c0 AS (SELECT CAST(r - 1 AS INT) AS c, z_v AS v, 0 AS n FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}-0:' || pair_id), pair_id) AS r FROM pairs) WHERE r <= {k})"
+    for t in range(rounds):
+        drawn = UNIFORM.format(key=f"'{seed}:{t}:' || pair_id")
+        out += f""", mb_a{t} AS MATERIALIZED (SELECT pair_id, any_value(z_v) AS z_v, {near} AS c FROM pairs, mb_c{t} WHERE {drawn} < least(1.0, {batch}.0 / (SELECT count(*) FROM pairs)) GROUP BY pair_id),
+mb_m{t} AS ({mean_sql(f'mb_a{t}', 'c', 'z_v')}), mb_n{t} AS (SELECT c, count(*) AS k FROM mb_a{t} GROUP BY c),
+mb_c{t + 1} AS MATERIALIZED (SELECT o.c, CASE WHEN k IS NULL THEN o.v ELSE list_transform(range(1, len(o.v) + 1), lambda i: (o.v[i] * o.n + m[i] * k) / (o.n + k)) END AS v, o.n + coalesce(k, 0) AS n
+  FROM mb_c{t} o LEFT JOIN mb_m{t} m_ ON m_.grp = o.c LEFT JOIN mb_n{t} n_ ON n_.c = o.c)"""
+    return out + f", mb_out AS (SELECT pair_id, {near} AS cluster FROM pairs, mb_c{rounds} GROUP BY pair_id)"
+
+
+@R.add(f"{WITH}, {minibatch_sql(6, 4, 'mini', 512)} SELECT pair_id, cluster FROM mb_out")
+def kmeans_minibatch(spark: SparkSession, d: str) -> DataFrame:
+    """Four rounds, one start, no reassignment, so that SQL can spell it out."""
+    return minibatch(pairs(spark, d).select("pair_id", "z_v"), "pair_id", "z_v", 6, 4, "mini", 512, starts=1, reassign=0.0).select("pair_id", "cluster")
+
+
 TWO_LEVEL_SQL = f"""{lloyd_sql('a', '(SELECT pair_id, z_v, z_t FROM pairs)', 'pair_id', 'z_v', '0', 4, 2, 'coarse')},
 a_named AS (SELECT pair_id, z_v, z_t, cluster AS lvl FROM a_out),
 {lloyd_sql('b', 'a_named', 'pair_id', 'z_v', 'lvl', 3, 2, 'fine')}"""

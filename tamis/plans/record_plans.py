@@ -50,6 +50,15 @@ def results_pivot(spark: SparkSession, d: str) -> DataFrame:
     return p.select("method", *(F.round(F.col(str(b)), 3).alias(f"b{b}") for b in (10, 20, 30, 40, 50)))
 
 
+@R.add(f"WITH {RUN_SQL}, e AS (SELECT 'overall' AS category, method, budget, v FROM runs UNION ALL SELECT category, method, budget, v FROM runs WHERE category = 'anomaly') SELECT category, method, " + ", ".join(f"round(avg(v) FILTER (budget = {b}), 3) AS b{b}" for b in (10, 20, 30, 40, 50)) + " FROM e GROUP BY category, method")
+def sweep_table(spark: SparkSession, d: str) -> DataFrame:
+    """Means over seeds by method and budget, of all runs and of one category."""
+    r = runs(spark, d)
+    each = r.withColumn("category", F.lit("overall")).unionByName(r.where("category = 'anomaly'"))
+    p = each.groupBy("category", "method").pivot("budget", [10, 20, 30, 40, 50]).agg(F.avg("v"))
+    return p.select("category", "method", *(F.round(F.col(str(b)), 3).alias(f"b{b}") for b in (10, 20, 30, 40, 50)))
+
+
 @R.add(f"WITH {RUN_SQL}, f AS (SELECT 'metrics__' || method || '_x_b' || budget || '_seed' || seed || '_eval' AS stem FROM runs GROUP BY ALL), t AS (SELECT stem, list_filter(regexp_split_to_array(stem, '__|_'), lambda x: x <> '' AND NOT list_contains(['metrics', 'stage', 'c', 'stagec', 'eval', 'norm'], lower(x))) AS t FROM f)"
        "SELECT stem, array_to_string(list_filter(t, lambda x: NOT regexp_matches(x, '(?i)^(s|seed)[0-9]+$') AND NOT regexp_matches(x, '(?i)^(b|budget)?[0-9.]+$')), '_') AS method, regexp_extract(list_filter(t, lambda x: regexp_matches(x, '(?i)^(b|budget)?[0-9.]+$'))[-1], '[0-9.]+') AS budget, CAST(regexp_extract(list_filter(t, lambda x: regexp_matches(x, '(?i)^(s|seed)[0-9]+$'))[-1], '[0-9]+') AS INT) AS seed FROM t")
 def parse_run_name(spark: SparkSession, d: str) -> DataFrame:

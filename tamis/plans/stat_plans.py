@@ -207,10 +207,13 @@ def spearman_rank_shift(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def pca_components_for(spark: SparkSession, d: str) -> DataFrame:
     """How many principal components explain 80, 90 and 95 percent of the image vectors' variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    p = pairs(spark, d).select(array_to_vector(F.col("z_v")).alias("x"))
-    shares = PCA(k=32, inputCol="x", outputCol="y").fit(p).explainedVariance.toArray().cumsum()
+    shares = S.principal(pairs(spark, d), "z_v", 32)[1].cumsum()
     rows = [(level, int((shares < level - 1e-12).sum()) + 1) for level in (0.8, 0.9, 0.95)]
     return spark.createDataFrame(rows, "level double, components int")
+
+
+@R.add()
+def pca_2d(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of all image vectors on the first two principal components."""
+    x = S.principal_coordinates(pairs(spark, d), "z_v", 2)
+    return x.select("pair_id", F.round(F.col("coordinates")[0], 6).alias("x"), F.round(F.col("coordinates")[1], 6).alias("y"))

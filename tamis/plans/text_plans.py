@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key, normal, phrase
 from ..operators import families as Y
+from ..operators.sampling import split_exact
 from ..sources.pairs import table
 from .base import Registry
 
@@ -54,6 +55,40 @@ def json_parse_families(spark: SparkSession, d: str) -> DataFrame:
     return Y.family_rows(m.select("conv_id", raw.alias("raw")), "raw", ["conv_id"]).select("conv_id", "family", F.md5("query").alias("digest"))
 
 
+@R.add("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {k}, '{f}', {f != 'Q1_templates'})" for p, names in Y.PRESETS.items() for k, f in enumerate(names)) + ") t(preset, family_order, family, generated)")
+def family_presets(spark: SparkSession, d: str) -> DataFrame:
+    both = [Y.preset(spark, p).withColumn("preset", F.lit(p)) for p in Y.PRESETS]
+    return both[0].unionByName(both[1]).select("preset", "family_order", "family", "generated")
+
+
+SPLIT = "split AS (SELECT doc_id, source, n_chars, CASE WHEN row_number() OVER (ORDER BY md5('held:' || doc_id), doc_id) <= 40 THEN 'validation' ELSE 'train' END AS part FROM documents)"
+FAILED = "split.part = 'validation' AND n_chars < 1000"
+
+
+@R.add(f"WITH {SPLIT}, fam AS (SELECT doc_id, source AS family FROM split UNION ALL SELECT doc_id, 'Q3_validation_failures' FROM split WHERE {FAILED}) SELECT family, count(*) AS n, family <> 'Q3_validation_failures' AS main FROM fam GROUP BY family")
+def validation_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Families with one of failures (here: short documents) of the validation split; main runs leave that one out."""
+    s = split_exact(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id", 40, "held")
+    failed = Y.failure_family(s, F.col("n_chars") < 1000, "part")
+    every = s.withColumn("family", F.col("source")).unionByName(failed)
+    main = Y.main_run(every, "family").select("family").distinct().withColumn("main", F.lit(True))
+    n = every.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(main, "family", "left").select("family", "n", F.coalesce("main", F.lit(False)).alias("main"))
+
+
+RUNS_OF = f"""list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"""
+RUNS_FROM = lambda source, id: f"(SELECT {id}, k, list_filter(string_split(k, ' '), lambda x: x <> '') AS w FROM (SELECT {id}, {KEY.format(t='text')} AS k FROM {source}))"
+
+
+@R.add(f"""WITH c AS MATERIALIZED (SELECT k, {RUNS_OF} AS r FROM {RUNS_FROM('benchmark', 'item_id')}), known AS MATERIALIZED (SELECT DISTINCT unnest(r) AS h FROM c WHERE k IS NOT NULL),
+t AS MATERIALIZED (SELECT doc_id, k, {RUNS_OF} AS r FROM {RUNS_FROM('documents', 'doc_id')}), u AS (SELECT doc_id, unnest(r) AS h FROM t),
+found AS (SELECT doc_id, count(*) AS n FROM u JOIN known USING (h) GROUP BY doc_id)
+SELECT doc_id FROM t LEFT JOIN found USING (doc_id) WHERE (n IS NULL OR n * 1000 < len(r) * 800) AND (k IS NULL OR k NOT IN (SELECT k FROM c WHERE k IS NOT NULL))""")
+def leak_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as proxies, benchmark items as captions."""
+    return Y.leak_filter(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "benchmark"), "text").select("doc_id")
+
+
 @R.add(f"WITH {DOCS}, r AS (SELECT doc_id, family, row_number() OVER (PARTITION BY family, {KEY.format(t='query')} ORDER BY pos) AS r FROM docs) SELECT doc_id, family FROM r WHERE r = 1")
 def dedupe_within(spark: SparkSession, d: str) -> DataFrame:
     return Y.first_of_key(docs(spark, d), ["family"], "query", ["pos"]).select("doc_id", "family")

@@ -172,15 +172,34 @@ def gather_ids(spark: SparkSession, d: str) -> DataFrame:
     return local.select("label", "local").join(local, ["label", "local"])
 
 
-@R.add(f"""{WITH}, n AS (SELECT count(*) AS n FROM pairs), ids AS (SELECT pair_id, z_t, row_number() OVER (ORDER BY pair_id) - 1 AS pos FROM pairs),
-draw AS (SELECT i, CAST(floor(n * {UNIFORM.format(key="'pa:' || i")}) AS BIGINT) AS a, CAST(floor(n * {UNIFORM.format(key="'pb:' || i")}) AS BIGINT) AS b FROM range(2000) t(i), n)
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(list_dot_product(x.z_t, y.z_t)), 6) AS mean_cosine FROM draw JOIN ids x ON x.pos = a JOIN ids y ON y.pos = b WHERE a <> b""")
-def pairwise_cosine_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Mean cosine of 2000 drawn pairs."""
+DRAWN_SQL = f"""n AS (SELECT count(*) AS n FROM pairs), ids AS (SELECT pair_id, z_t, row_number() OVER (ORDER BY pair_id) - 1 AS pos FROM pairs),
+draw AS (SELECT i, CAST(floor(n * {UNIFORM.format(key="'pa:' || i")}) AS BIGINT) AS a, CAST(floor(n * {UNIFORM.format(key="'pb:' || i")}) AS BIGINT) AS b FROM range(2000) t(i), n),
+drawn AS (SELECT list_dot_product(x.z_t, y.z_t) AS s FROM draw JOIN ids x ON x.pos = a JOIN ids y ON y.pos = b WHERE a <> b)"""
+
+
+def drawn_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """(s) of 2000 drawn pairs of proxies."""
     from ..operators.sampling import global_row_number
 
     ids = global_row_number(pairs(spark, d).select("pair_id", "z_t"), "pair_id", "pos")
     n = ids.count()
     draw = spark.range(2000).select(*(F.floor(n * rng.uniform(rng.keyed(s, "id"))).alias(c) for s, c in (("pa", "a"), ("pb", "b")))).where("a <> b")
     x, y = ids.select(F.col("pos").alias("a"), F.col("z_t").alias("x")), ids.select(F.col("pos").alias("b"), F.col("z_t").alias("y"))
-    return draw.join(x, "a").join(y, "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(F.col("x"), F.col("y"))), 6).alias("mean_cosine"))
+    return draw.join(x, "a").join(y, "b").select(V.dot(F.col("x"), F.col("y")).alias("s"))
+
+
+@R.add(f"{WITH}, {DRAWN_SQL} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(s), 6) AS mean_cosine FROM drawn")
+def pairwise_cosine_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Mean cosine of the drawn pairs."""
+    return drawn_cosines(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_cosine"))
+
+
+@R.add(f"""{WITH}, {DRAWN_SQL} SELECT (SELECT n FROM n) AS n, count(*) AS n_pairs, round(min(s), 6) AS least, round(quantile_cont(s, 0.5), 6) AS median, round(max(s), 6) AS most, round(avg(s), 6) AS mean,
+  round(coalesce(stddev_samp(s), 0), 6) AS std, round(coalesce(stddev_samp(s) / avg(s), 0), 6) AS cv FROM drawn""")
+def proxy_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How many proxies there are, and a summary of the cosines of drawn pairs."""
+    from ..operators.stats import summary
+
+    s = drawn_cosines(spark, d).agg(F.count(F.lit(1)).alias("n_pairs"), *summary(F.col("s")))
+    n = pairs(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(s).select("n", "n_pairs", *(F.round(c, 6).alias(c) for c in ("least", "median", "most", "mean", "std", "cv")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -396,3 +397,72 @@ def test_stream_appends_once(spark, tmp_path):
         spark.range(5).write.mode("append").parquet(src)
         append_once(read_records(spark, src, "id long"), sink, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(sink).count() == 10
+
+
+# ---- principal components, mini-batches, families ----------------------------------------------------------------
+
+
+def test_principal_components_by_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(40, 4)) * [5, 3, 1, 0.2] + 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(3)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    axes = axes.T[::-1]
+    axes *= np.sign(axes[np.arange(4), np.abs(axes).argmax(axis=1)])[:, None]
+    _, shares, _ = S.principal(df, "v", 4)
+    assert shares == pytest.approx(values[::-1] / values.sum())
+    got = {r.id: r.coordinates for r in S.principal_coordinates(df, "v", 2).collect()}
+    want = (x - x.mean(axis=0)) @ axes[:2].T
+    assert np.array([got[i] for i in range(40)]) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("starts, reassign", [(1, 0.0), (3, 0.2)])
+def test_mini_batches_by_brute_force(spark, starts, reassign):
+    from tamis.functions import rng as hashed
+    from tamis.operators.clustering import minibatch
+
+    r, k, rounds, batch = np.random.default_rng(11), 4, 3, 25
+    x = np.repeat(r.normal(size=(4, 3)) * 6, 15, axis=0) + r.normal(size=(60, 3))
+    md5 = lambda seed, i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
+    first = [x[sorted(range(60), key=lambda i: md5(f"s-{s}", i))[:k]] for s in range(starts)]  # noqa: B023
+    drawn = lambda t: [i for i in range(60) if hashed.uniform_of(f"s:{t}:{i}") < batch / 60]
+    d2 = lambda rows, c: ((x[rows][:, None] - c) ** 2).sum(axis=2)
+    cents = min(first, key=lambda c: d2(drawn(0), c).min(axis=1).sum()).copy()
+    given = [[] for _ in range(k)]
+    counts = np.zeros(k)
+    for t in range(rounds):
+        own = d2(drawn(t), cents).argmin(axis=1)
+        for c in range(k):
+            mine = x[drawn(t)][own == c]
+            if len(mine):
+                cents[c] = (cents[c] * counts[c] + mine.sum(axis=0)) / (counts[c] + len(mine))
+                counts[c] += len(mine)
+        low = np.flatnonzero(counts < reassign * counts.max())
+        if len(low):
+            cents[low] = x[drawn(t)][: len(low)]
+            counts[low] = np.delete(counts, low).min()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(5)
+    got = {row.id: row.cluster for row in minibatch(df, "id", "v", k, rounds, "s", batch, starts, reassign).collect()}
+    assert [got[i] for i in range(60)] == d2(list(range(60)), cents).argmin(axis=1).tolist()
+    assert minibatch(df.where("id < 0"), "id", "v", k, rounds, "s").count() == 0
+
+
+def test_leaks(spark):
+    from tamis.operators.families import leak_filter
+
+    caption = "one two three four five six seven eight nine"  # five runs of five words
+    texts = [caption.upper(), "One  two", "one two three four five six seven eight x", "one two three four five six seven y z", "", None, "other words are here and they stay", "a b one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    captions = spark.createDataFrame([(caption,), (caption,), ("one two",), (None,)], "c string")
+    # Of the third text's five runs, four are known, and it goes; of the fourth's, three.
+    assert sorted(r.id for r in leak_filter(df, "id", "t", captions, "c").collect()) == [3, 4, 5, 6, 7]
+    assert leak_filter(df, "id", "t", captions.limit(0), "c").count() == len(texts)
+
+
+def test_presets_and_ablation_families(spark):
+    assert [r.family for r in Y.preset(spark, "default").orderBy("family_order").collect()] == list(Y.PRESETS["default"])
+    with pytest.raises(ValueError):
+        Y.preset(spark, "other")
+    df = spark.createDataFrame([(1, "validation", True), (2, "test", True), (3, "validation", None), (4, None, True)], "id int, part string, bad boolean")
+    failed = Y.failure_family(df, F.col("bad"), "part")
+    assert [r.id for r in failed.collect()] == [1]
+    assert Y.main_run(failed, "family").count() == 0

@@ -8,6 +8,7 @@ import zipfile
 import numpy as np
 import pytest
 
+from tamis.sources import arrays as A
 from tamis.sources.arrays import family_files, read_npy, read_zipped_csv, shard_files
 from tamis.sources.files import read_json_mixed, read_jsonl, resolve_paths, texts_of
 
@@ -101,3 +102,28 @@ def test_no_private_folder_on_a_cluster(spark):
         else:
             with pytest.raises(RuntimeError):
                 shared_folder(fake)
+
+
+@pytest.mark.parametrize("dtype, kind", [("float32", "float"), ("float64", "double"), ("int32", "long"), ("float16", "float")])
+def test_arrays_written_and_read(spark, tmp_path, dtype, kind):
+    x = np.arange(60).reshape(20, 3).astype(dtype)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>").repartition(4)
+    A.write_npy(df, "id", "v", f"{tmp_path}/x.npy", dtype)
+    assert np.array_equal(np.load(f"{tmp_path}/x.npy"), x) and np.load(f"{tmp_path}/x.npy").dtype == x.dtype
+    back = A.read_npy(spark, f"{tmp_path}/x.npy", 7)
+    assert back.schema["vec"].dataType.elementType.simpleString().replace("bigint", "long") == kind
+    assert [r.vec for r in back.orderBy("row").collect()] == x.tolist()
+    with pytest.raises(ValueError):
+        A.write_npy(df.where("id <> 3"), "id", "v", f"{tmp_path}/y.npy")
+    A.write_npy(df.limit(0), "id", "v", f"{tmp_path}/z.npy")
+    assert len(np.load(f"{tmp_path}/z.npy")) == 0
+
+
+def test_named_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "b", [1.0, 2.0]), (0, 1.5, "aa", [3.0, 4.0])], "cluster int, score double, name string, centre array<double>")
+    A.write_npz(df, f"{tmp_path}/x.npz", ["cluster"])
+    back = A.read_npz(spark, f"{tmp_path}/x.npz")
+    assert [tuple(r) for r in back.orderBy("row").collect()] == [(0, 0, 1.5, "aa", [3.0, 4.0]), (1, 1, 2.5, "b", [1.0, 2.0])]
+    assert A.read_npz(spark, f"{tmp_path}/x.npz", ["score"]).columns == ["row", "score"]
+    with pytest.raises(ValueError):
+        A.write_npz(df, f"{tmp_path}/y.npz", ["cluster"], most_rows=1)
