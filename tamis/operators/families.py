@@ -47,8 +47,10 @@ def leak_filter(df: DataFrame, id: str, text: str, captions: DataFrame, caption:
 
     def runs(t: Column) -> Column:
         w = F.filter(F.split(key(t), " "), lambda x: x != "")
-        at = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+        n = F.greatest(F.size(w) - (size - 1), F.lit(0))
+        # Shifted copies side by side: a lambda over positions would work out the words once per position.
+        shifted = F.arrays_zip(*(F.slice(w, F.lit(i + 1), n).alias(f"w{i}") for i in range(size)))
+        return F.array_distinct(F.transform(shifted, lambda x: F.xxhash64(x)))
 
     known = captions.select(F.explode(runs(F.col(caption))).alias("_h")).distinct()
     own = df.select(F.col(id).alias("_id"), F.explode(runs(F.col(text))).alias("_h"))

@@ -76,14 +76,17 @@ def validation_failures(spark: SparkSession, d: str) -> DataFrame:
     return n.join(main, "family", "left").select("family", "n", F.coalesce("main", F.lit(False)).alias("main"))
 
 
-RUNS_OF = f"""list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"""
-RUNS_FROM = lambda source, id: f"(SELECT {id}, k, list_filter(string_split(k, ' '), lambda x: x <> '') AS w FROM (SELECT {id}, {KEY.format(t='text')} AS k FROM {source}))"
+def runs_sql(name: str, source: str, id: str) -> str:
+    """{name}_k (id, key) and {name} (id, h), the distinct runs of five words."""
+    more = " || ' ' || ".join(f"lead(x, {i}) OVER w" for i in range(1, 5))
+    return f"""{name}_k AS MATERIALIZED (SELECT {id} AS id, {KEY.format(t='text')} AS k FROM {source}),
+{name}_w AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT id, list_filter(string_split(k, ' '), lambda x: x <> '') AS w FROM {name}_k)),
+{name} AS MATERIALIZED (SELECT DISTINCT id, h FROM (SELECT id, x || ' ' || {more} AS h FROM {name}_w WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE h IS NOT NULL)"""
 
 
-@R.add(f"""WITH c AS MATERIALIZED (SELECT k, {RUNS_OF} AS r FROM {RUNS_FROM('benchmark', 'item_id')}), known AS MATERIALIZED (SELECT DISTINCT unnest(r) AS h FROM c WHERE k IS NOT NULL),
-t AS MATERIALIZED (SELECT doc_id, k, {RUNS_OF} AS r FROM {RUNS_FROM('documents', 'doc_id')}), u AS (SELECT doc_id, unnest(r) AS h FROM t),
-found AS (SELECT doc_id, count(*) AS n FROM u JOIN known USING (h) GROUP BY doc_id)
-SELECT doc_id FROM t LEFT JOIN found USING (doc_id) WHERE (n IS NULL OR n * 1000 < len(r) * 800) AND (k IS NULL OR k NOT IN (SELECT k FROM c WHERE k IS NOT NULL))""")
+@R.add(f"""WITH {runs_sql('c', 'benchmark', 'item_id')}, {runs_sql('t', 'documents', 'doc_id')},
+found AS (SELECT id, count(*) AS n, count(known.h) AS f FROM t LEFT JOIN (SELECT DISTINCT h FROM c) known ON known.h = t.h GROUP BY id)
+SELECT t_k.id AS doc_id FROM t_k LEFT JOIN found ON found.id = t_k.id WHERE (n IS NULL OR f = 0 OR f * 1000 < n * 800) AND (k IS NULL OR k NOT IN (SELECT k FROM c_k WHERE k IS NOT NULL))""")
 def leak_filter(spark: SparkSession, d: str) -> DataFrame:
     """Documents as proxies, benchmark items as captions."""
     return Y.leak_filter(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, d, "benchmark"), "text").select("doc_id")
