@@ -546,8 +546,9 @@ def test_average_precision(spark, kind, monkeypatch):
         at = [n for n, j in enumerate(ranked, 1) if groups[i] is not None and groups[j] == groups[i]]
         want[i] = (round(float(np.mean([k / n for k, n in enumerate(at, 1)])), 12) if at else None, *(float(bool(at) and at[0] <= k) for k in (1, 5)))
     q, g = (spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(m, groups))], "id long, v array<double>, c int").withColumn("c", F.col("c").cast(kind)).repartition(3) for m in (a, b))
-    for rows, packed in ((9, 13), (1000, 4096)):
+    for rows, packed, held in ((9, 13, 0), (1000, 4096, 1 << 29)):  # with a scratch file and without
         monkeypatch.setattr(T, "PACKED", packed)
+        monkeypatch.setattr(T, "HELD", held)
         out = T.average_precision(q, g, "c", (1, 5), block_rows=rows)
         assert {x.id: (None if x.ap is None else round(x.ap, 12), x.r1, x.r5) for x in out.collect()} == want
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no list of a query's positives
